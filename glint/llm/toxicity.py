@@ -4,9 +4,10 @@ Labels say toxic or not; grades come from the training rows themselves: 0 for th
 how much of the text the words take that go with the toxic label. One weight vector is shared by all thresholds:
 P(grade > k) = sigmoid(w . x - theta_k) with theta_1 <= theta_2 <= theta_3. The result is the expected grade.
 
-Features are log(1 + count) of single words, known by a 64-bit hash, that the training labels speak for or against
+Features are log(1 + count) of words and of words' first five bytes, known by a 64-bit hash, that the training labels speak for
 beyond chance. The fit uses at most ``max_rows`` labelled rows (a documented bound, chosen by hash of doc_id), one for
-each smallest 5-word shingle, so copies of a text aren't counted as further evidence. Scoring reads every whole text.
+each smallest 5-word shingle, and a word counts once in each context, so copies of a text or passage aren't further
+evidence. Where a text starts to count as toxic is set on the training rows (largest F0.5). Scoring reads every whole text.
 
 Defined cases: null or empty text has no features, so the intercept's severity; without labels of both kinds nothing
 is toxic and severity is 0; a doc_id labelled twice is toxic if one label says so; repeated rows are scored alike;
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glint.llm.words import shingle_set, word_hashes
+from glint.llm.words import mix, shingle_set, word_hashes
 
 MAX_ROWS = 6000
 MAX_FEATURES = 400
-LEAST_Z = 3.3
+CHANCE = 100.0
+STEM = 5
+_STEM_MARK = np.uint64(0x5DEECE66D)
 
 
 @dataclass
@@ -45,14 +48,20 @@ class Severity:
 
     def score(self, text: str | None) -> tuple[float, int, bool]:
         """Expected severity, most likely grade, and whether the text counts as toxic."""
-        over = 1 / (1 + np.exp(-(np.log1p(self.counts(word_hashes(_plain(text)))) @ self.weights - self.theta)))
+        over = 1 / (1 + np.exp(-(np.log1p(self.counts(np.concatenate(_features(text)))) @ self.weights - self.theta)))
         each = -np.diff(np.concatenate(([1.0], over, [0.0])))
         return float(over.sum()), int(np.argmax(each)), bool(over[0] >= self.edge)
 
 
 def _plain(text: str | None) -> str:
     """White space for ASCII characters that aren't letters, so that stops don't hide a word."""
-    return (text or "").translate(_TABLE)
+    return (text or "").lower().translate(_TABLE)
+
+
+def _features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, then those of their beginnings."""
+    plain = _plain(text)
+    return word_hashes(plain), word_hashes(plain, prefix=STEM) ^ _STEM_MARK
 
 
 _TABLE = {i: " " for i in range(128) if not chr(i).isalpha()}
@@ -97,12 +106,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severit
             found = []
             for i, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shingles = shingle_set(text, 5)
-                own, n = np.unique(word_hashes(_plain(text)), return_counts=True)
-                if len(shingles):
-                    found.append((i, toxic, int(shingles[0].astype(np.int64)), own.tobytes(), n.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "toxic", "least", "words", "n"])
-
-    one = rows.mapInArrow(words, "doc_id long, toxic int, least long, words binary, n binary").groupBy("least").agg(F.min_by(F.struct("doc_id", "toxic", "words", "n"), F.struct("doc_id", "toxic")).alias("r")).select("r.*")
+                w, stems = _features(text)
+                if not len(w):
+                    continue
+                own, first, n = np.unique(np.concatenate((w, stems)), return_index=True, return_counts=True)
+                around = mix(np.concatenate((w[:1], w[:-1])) ^ mix(np.concatenate((w[1:], w[-1:]))))
+                around = np.concatenate((around, w))  # a beginning is evidence once for each word that has it
+                found.append((i, toxic, int(shingles[0].astype(np.int64)), own.tobytes(), n.astype("<u4").tobytes(), around[first].tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["doc_id", "toxic", "least", "words", "n", "around"])
+
+    one = rows.mapInArrow(words, "doc_id long, toxic int, least long, words binary, n binary, around binary").groupBy("least").agg(F.min_by(F.struct("doc_id", "toxic", "words", "n", "around"), F.struct("doc_id", "toxic")).alias("r")).select("r.*")
     sample = sorted(one.orderBy(F.xxhash64("doc_id")).limit(max_rows).toLocalIterator(), key=lambda r: r.doc_id)
     y = np.array([r.toxic > 0 for r in sample], bool)
     none = Severity(np.zeros(0, np.uint64), np.zeros(0), np.full(3, 40.0), 0.5)
@@ -111,11 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severit
     held = [(np.frombuffer(r.words, "<u8"), np.frombuffer(r.n, "<u4")) for r in sample]
     vocabulary, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
     row = np.repeat(np.arange(len(held)), [len(w) for w, _ in held])
-    n1, n0 = np.bincount(at[y[row]], minlength=len(vocabulary)), np.bincount(at[~y[row]], minlength=len(vocabulary))
-    odds = np.log((n1 + 0.5) / (y.sum() - n1 + 0.5)) - np.log((n0 + 0.5) / ((~y).sum() - n0 + 0.5))
-    z = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    pick = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
-    pick = np.sort(pick[np.abs(z[pick]) >= LEAST_Z])
+    around = np.concatenate([np.frombuffer(r.around, "<u8") for r in sample])
+    n1, n0 = (_contexts(at[own], around[own], len(vocabulary)) for own in (y[row], ~y[row]))
+    n, base = n1 + n0, n1.sum() / (n1.sum() + n0.sum())
+    share = np.clip(n1 / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    # Chernoff's bound on the chance that a word meets the label so often; one in CHANCE of all words may by accident
+    bits = np.where(share > base, n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))), 0.0)
+    pick = np.argsort(-bits, kind="stable")[:MAX_FEATURES]
+    pick = np.sort(pick[bits[pick] >= np.log(len(vocabulary) * CHANCE)])
     if not len(pick):
         return none
     place = np.full(len(vocabulary), -1)
@@ -124,11 +141,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severit
     counts = np.zeros((len(held), len(pick)))
     known = place[at] >= 0
     np.add.at(counts, (row[known], place[at[known]]), n[known])
-    density = counts[:, z[pick] > 0].sum(1) / np.maximum(1, np.bincount(row, weights=n, minlength=len(held)))
+    density = counts.sum(1) / np.maximum(1, np.bincount(row, weights=n, minlength=len(held)))
     edges = np.quantile(density[y & (density > 0)], [1 / 3, 2 / 3]) if (y & (density > 0)).any() else np.zeros(2)
     grade = np.where(y, 1 + (density > edges[0]).astype(int) + (density > edges[1]), 0)
     weights, theta = fit_ordinal(np.log1p(counts), grade)
-    return Severity(vocabulary[pick], weights, theta, 0.5)
+    over = 1 / (1 + np.exp(-(np.log1p(counts) @ weights - theta[0])))
+    return Severity(vocabulary[pick], weights, theta, _edge(over, y))
+
+
+def _contexts(at: np.ndarray, around: np.ndarray, n: int) -> np.ndarray:
+    """For each word, in how many different contexts it stands: a passage that many texts share is evidence once."""
+    order = np.lexsort((around, at))
+    at, around = at[order], around[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (around[1:] != around[:-1])
+    return np.bincount(at[new], minlength=n)
+
+
+def _edge(over: np.ndarray, y: np.ndarray) -> float:
+    """The probability of grade 1 or more from which the training rows are best told apart (largest F0.5: a clean text called toxic costs more than a toxic one missed), half way to the next below."""
+    values, at = np.unique(over, return_inverse=True)
+    hits, all_ = np.bincount(at[y], minlength=len(values)), np.bincount(at, minlength=len(values))
+    tp, said = np.cumsum(hits[::-1])[::-1], np.cumsum(all_[::-1])[::-1]
+    best = int(np.argmax(1.25 * tp / (said + 0.25 * y.sum())))
+    return float(values[best] + values[best - 1]) / 2 if best else float(values[0])
 
 
 def score(docs: DataFrame, model: Severity) -> DataFrame:

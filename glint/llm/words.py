@@ -32,30 +32,32 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, 1 << 16)
         with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate(([1], np.full(n - 1, b, np.uint64))).astype(np.uint64)) for b in (np.uint64(_BASE), np.uint64(_INVERSE))]
+            _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b, np.uint64))), dtype=np.uint64) for b in (np.uint64(_BASE), np.uint64(_INVERSE))]
     return _powers[0], _powers[1]
 
 
-def _block_hashes(a: np.ndarray) -> np.ndarray:
+def _block_hashes(a: np.ndarray, prefix: int | None = None) -> np.ndarray:
     white = _WHITE[a]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], white, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64)
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     up, down = _power(len(a))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)])))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)))
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
-    """One hash for each word of the whole text, in order; none for a null text."""
+def word_hashes(text: str | None, lower: bool = True, prefix: int | None = None) -> np.ndarray:
+    """One hash for each word of the whole text (or for its first ``prefix`` bytes), in order; none for a null text."""
     if not text:
         return np.empty(0, np.uint64)
     a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if lower:
         a = _LOWER[a]
     if len(a) <= _BLOCK:
-        return _block_hashes(a)
+        return _block_hashes(a, prefix)
     found, at = [], 0
     while at < len(a):  # long texts in blocks that end before white space
         end = min(len(a), at + _BLOCK)
@@ -65,7 +67,7 @@ def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
                 end += int(stop[0])
                 break
             end = min(len(a), end + _BLOCK)
-        found.append(_block_hashes(a[at:end]))
+        found.append(_block_hashes(a[at:end], prefix))
         at = end
     return np.concatenate(found)
 
