@@ -19,6 +19,7 @@ ordered by text; an empty table gives an empty folder; further columns are ignor
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -33,7 +34,10 @@ from glint.llm.words import mix
 
 SHARD = "part int, seq int, first_key long, last_key long, null_keys long, n_docs long, n_ids long, width int, payload binary, keys binary, copy binary, seeds binary, prints binary, offsets binary, counts binary"
 _EMPTY, _GOLD = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+_ends: dict[str, np.ndarray] = {}
 _tokenizers: dict = {}
 _known: dict[str, dict[str, bytes]] = {}
 
@@ -114,29 +118,44 @@ def encoder(path: str):
 
         _tokenizers[path], _known[path] = Tokenizer.from_file(path), {}
     tokenizer, known = _tokenizers[path], _known[path]
-    tokenizer.encode_special_tokens = True
+
+    if path not in _ends:
+        vocabulary = tokenizer.get_vocab()
+        _ends[path] = np.zeros(max(vocabulary.values()) + 1, bool)
+        _ends[path][[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    ends = _ends[path]
 
     def ids_of(words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def ids_of_stems(stems: list[str]) -> list[bytes]:
+        """The same for words that are one piece each: encoded as one text, whose pieces end where a token ends a word."""
+        ids = np.asarray(tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        stops = (np.flatnonzero(ends[ids]) + 1).tolist()
+        if len(stops) != len(stems):
+            return ids_of(stems)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
+
     def parts(word: str) -> tuple[str, str]:
-        """An ASCII word's letters in lower case, and the stops after them; these are separate pieces for the tokenizer."""
+        """The letters of a Latin word in lower case, and the stops after them; these are separate pieces for the tokenizer."""
         stem = word.rstrip(".,;:!?")
-        return (stem.lower(), word[len(stem) :]) if stem.isascii() and stem.isalpha() else (word, "")
+        return (stem.lower(), word[len(stem) :]) if _LATIN(stem) else ("", word)
 
     def encode(text: str | None) -> bytes:
-        words = (text or "").split()
+        words = _WORDS(text or "")
         if len(known) > CACHE_WORDS:
             known.clear()
         new = [w for w in set(words) if w not in known]
         if new:
             cut = {w: parts(w) for w in new}
-            fresh = [p for p in dict.fromkeys(chain.from_iterable(cut.values())) if p and p not in known]
-            got = dict(zip(fresh, ids_of(fresh), strict=True))
-            known.update(got)
-            for w, (stem, stops) in cut.items():
+            stems = list({a for a, _ in cut.values() if a and a not in known})
+            others = list({b for _, b in cut.values() if b and b not in known})
+            known.update(zip(stems, ids_of_stems(stems) if stems else [], strict=True))
+            known.update(zip(others, ids_of(others) if others else [], strict=True))
+            for w, (stem, rest) in cut.items():
                 if w not in known:
-                    known[w] = (known[stem] if stem else b"") + (known[stops] if stops else b"")
+                    known[w] = (known[stem] if stem else b"") + (known[rest] if rest else b"")
         return b"".join(map(known.__getitem__, words))
 
     return encode
