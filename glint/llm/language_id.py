@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 DIMS = 4096
 PER_LANGUAGE = 300
@@ -138,8 +139,9 @@ def predict(docs: DataFrame, model: Centroids, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = [sent.value.predict(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), pa.array([s[2] for s in said], pa.bool_())], [*batch.schema.names[1:], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), pa.array([s[2] for s in said], pa.bool_())], [*batch.schema.names[1:], "_lang_pred", "_score", "_rejected"])
 
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean" if keep else "lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_{c}") for c in keep])
+    schema = StructType([*rows.schema[1:], StructField("_lang_pred", StringType()), StructField("_score", DoubleType()), StructField("_rejected", BooleanType())])
+    said = rows.mapInArrow(run, schema).withColumnsRenamed({f"_{c}": c for c in keep})
+    return said.select(*keep, *[F.col(f"_{c}").alias(c) for c in ("lang_pred", "score", "rejected")])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.llm import binary_output, language_id, line_dedup, mixing, near_dups, neighbours, packing, quality_rules, scratch, toxicity
+from glint.llm import binary_output, language_id, licences, line_dedup, mixing, near_dups, neighbours, packing, quality_rules, scratch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs))
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.find(_table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_binary_output": op6_binary_output,
+    "op7_licence_scan": op7_licence_scan,
     "op8_near_dups": op8_near_dups,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
