@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: Centroids, *keep: str) -> DataFrame:
             said = [sent.value.predict(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), pa.array([s[2] for s in said], pa.bool_())], [*batch.schema.names[1:], "_lang_pred", "_score", "_rejected"])
 
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_{c}") for c in keep])
+    rows = docs.select(F.col("text").cast("string").alias("_read_"), *[F.col(c).alias(f"_{i}_") for i, c in enumerate(keep)])
     schema = StructType([*rows.schema[1:], StructField("_lang_pred", StringType()), StructField("_score", DoubleType()), StructField("_rejected", BooleanType())])
-    said = rows.mapInArrow(run, schema).withColumnsRenamed({f"_{c}": c for c in keep})
+    said = rows.mapInArrow(run, schema).withColumnsRenamed({f"_{i}_": c for i, c in enumerate(keep)})
     return said.select(*keep, *[F.col(f"_{c}").alias(c) for c in ("lang_pred", "score", "rejected")])
