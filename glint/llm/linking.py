@@ -26,14 +26,17 @@ def star(posts: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
-def across(posts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of the lists (key, id, index) whose ids are in different components of ``roots`` (id, root); a is an index entry."""
+def across(posts: DataFrame, roots: DataFrame, extra: tuple[str, ...] = (), condition: str = "true") -> DataFrame:
+    """(a, b) of the lists (key, id, index) whose ids are in different components of ``roots`` (id, root); a is an index entry.
+
+    ``condition`` is SQL on the ``extra`` columns, with a and b at the ends of their names, that every link meets.
+    """
     placed = posts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     placed = placed.join(mixed, "key", "left_semi")
-    left = placed.where("index").select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    right = placed.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), "index")
-    pairs = left.join(right, "key").where("ra <> rb and (not index or a < b)")
+    left = placed.where("index").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), *[F.col(c).alias(f"{c}a") for c in extra])
+    right = placed.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), "index", *[F.col(c).alias(f"{c}b") for c in extra])
+    pairs = left.join(right, "key").where(f"ra <> rb and (not index or a < b) and {condition}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
