@@ -113,9 +113,6 @@ def q_timestamp_add(spark, d):
 
 
 _SERIES = "e AS (SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, (user_id % 20)::int AS channel, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v FROM events)"
-_HOUR = F.date_format("hour", "yyyy-MM-dd HH").alias("hour")
-
-
 @query(f"WITH {_SERIES}, m AS (SELECT *, avg(v) OVER (PARTITION BY hour, channel) AS m FROM e) SELECT event_id, {_r('coalesce(v, m)', 'v')} FROM m WHERE m IS NOT NULL")
 def q_fill_and_filter(spark, d):
     return quality.fill_and_filter(tables.series(spark, d), ["hour", "channel"], "v").select("event_id", six("v"))
@@ -300,7 +297,7 @@ def _points(spark, d) -> DataFrame:
 @query(f"WITH {_SERIES} SELECT hour, {_r('avg(v)', 'mean')}, count(v) AS n FROM e GROUP BY 1")
 def q_mean_by_time(spark, d):
     v = F.when(~F.isnan("v"), F.col("v"))
-    return tables.series(spark, d).groupBy(_HOUR).agg(six(F.avg(v), "mean"), F.count(v).alias("n"))
+    return tables.series(spark, d).groupBy(F.date_format("hour", "yyyy-MM-dd HH").alias("hour")).agg(six(F.avg(v), "mean"), F.count(v).alias("n"))
 
 
 @query(f"WITH {_SERIES}, o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY event_id) AS a, row_number() OVER (PARTITION BY channel ORDER BY event_id DESC) AS b FROM e WHERE v IS NOT NULL) SELECT channel, max(event_id) FILTER (WHERE a = 1) AS first_id, max(event_id) FILTER (WHERE b = 1) AS last_id FROM o GROUP BY 1")
