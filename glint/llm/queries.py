@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.llm import binary_output, language_id, licences, line_dedup, mixing, near_dups, neighbours, packing, quality_rules, scratch, toxicity
+from glint.llm import binary_output, language_id, licences, line_dedup, mixing, near_dups, neighbours, oracles, packing, quality_rules, scratch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op4_mix_sources": oracles.MIX, "op8_near_dups": oracles.NEAR}
