@@ -67,8 +67,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     about = rows.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
     n, largest = about.n, about.largest or 1.0
     chosen = [r.vector for r in rows.orderBy(F.xxhash64("id"), "id", "vector").limit(PIVOTS).collect()]  # PIVOTS vectors at most
-    p = np.array(chosen, float).reshape(len(chosen), -1)
-    if len(p):
+    p = np.array(chosen, float)
+    if len(chosen):
         p = np.hstack((p, np.sqrt(np.maximum(0, largest**2 - np.linalg.norm(p, axis=1, keepdims=True) ** 2))))
         p /= np.linalg.norm(p, axis=1, keepdims=True)
     pivots = spark.sparkContext.broadcast((p, float(largest)))
