@@ -48,19 +48,20 @@ def components(links: DataFrame) -> DataFrame:
     links is no list in one task, and the number of steps grows with the logarithm of the number of nodes.
     """
     edges = scratch.cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
+    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    state = mark(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
         step = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.cut(step, "links")
-        now = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = mark(after)
         scratch.drop(edges)
         edges = after
-        if tuple(now) == state:
+        if now == state:
             break
-        state = tuple(now)
+        state = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
