@@ -16,6 +16,11 @@ def mutated(text, rng, n):
     return " ".join(w)
 
 
+def touched(line, rng):
+    at = rng.randrange(len(line))
+    return line if rng.random() < 0.4 else line[:at] + rng.choice("xyz") + line[at + rng.randrange(2) :]
+
+
 def corpus():
     rng = random.Random(3)
     texts = list(ODD)
@@ -87,7 +92,7 @@ def test_line_classes_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linking, "LONG", 4)
     rng = random.Random(8)
     base = [prose(i, 6) for i in range(8)] + ["short line 1", "exactly 15 chars"[:15], "exactly 16 chars"]
-    texts = [None, "", "\n", *("\n".join("".join(c for c in (l if rng.random() < 0.4 else l[: (k := rng.randrange(len(l)))] + rng.choice("xyz") + l[k + rng.randrange(2) :])) for l in rng.sample(base, 4)) for _ in range(25))]
+    texts = [None, "", "\n"] + ["\n".join(touched(l, rng) for l in rng.sample(base, 4)) for _ in range(25)]
     lines = [(i, p, l) for i, t in enumerate(texts) if t is not None for p, l in enumerate(t.split("\n")) if len(l) >= 15 and l.strip()]
     different = sorted({l for *_, l in lines})
     links = [(a, b) for b in range(len(different)) for a in range(b) if edit_distance(different[a], different[b]) <= line_dedup.edits(min(len(different[a]), len(different[b])))]
