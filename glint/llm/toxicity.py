@@ -4,7 +4,7 @@ Labels say toxic or not; grades come from the training rows themselves: 0 for th
 how much of the text the words take that go with the toxic label. One weight vector is shared by all thresholds:
 P(grade > k) = sigmoid(w . x - theta_k) with theta_1 <= theta_2 <= theta_3. The result is the expected grade.
 
-Features are log(1 + count) of words and of words' first five bytes, known by a 64-bit hash, that the training labels speak for
+Features are the rates of words and of words' first five bytes, known by a 64-bit hash, that the training labels speak for
 beyond chance. The fit uses at most ``max_rows`` labelled rows (a documented bound, chosen by hash of doc_id), one for
 each smallest 5-word shingle, and a word counts once in each context, so copies of a text or passage aren't further
 evidence. Where a text starts to count as toxic is set on the training rows (largest F0.5). Scoring reads every whole text.
@@ -30,6 +30,7 @@ MAX_ROWS = 6000
 MAX_FEATURES = 400
 CHANCE = 100.0
 STEM = 5
+PRIOR = 50
 _STEM_MARK = np.uint64(0x5DEECE66D)
 
 
@@ -48,7 +49,9 @@ class Severity:
 
     def score(self, text: str | None) -> tuple[float, int, bool]:
         """Expected severity, most likely grade, and whether the text counts as toxic."""
-        over = 1 / (1 + np.exp(-(np.log1p(self.counts(np.concatenate(_features(text)))) @ self.weights - self.theta)))
+        words, stems = _features(text)
+        x = _values(self.counts(np.concatenate((words, stems))), len(words))
+        over = 1 / (1 + np.exp(-(x @ self.weights - self.theta)))
         each = -np.diff(np.concatenate(([1.0], over, [0.0])))
         return float(over.sum()), int(np.argmax(each)), bool(over[0] >= self.edge)
 
@@ -58,6 +61,11 @@ def _plain(text: str | None) -> str:
     return (text or "").lower().translate(_TABLE)
 
 
+def _values(counts: np.ndarray, words) -> np.ndarray:
+    """Of features: log(1 + their rate in a hundred words), with PRIOR more words so that one hit in a short text isn't a high rate."""
+    return np.log1p(100 * counts / (np.asarray(words)[..., None] + PRIOR))
+
+
 def _features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes, then those of their beginnings."""
     plain = _plain(text)
@@ -111,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severit
                     continue
                 own, first, n = np.unique(np.concatenate((w, stems)), return_index=True, return_counts=True)
                 around = mix(np.concatenate((w[:1], w[:-1])) ^ mix(np.concatenate((w[1:], w[-1:]))))
-                around = np.concatenate((around, w))  # a beginning is evidence once for each word that has it
+                around = np.concatenate((around, around))
                 found.append((i, toxic, int(shingles[0].astype(np.int64)), own.tobytes(), n.astype("<u4").tobytes(), around[first].tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["doc_id", "toxic", "least", "words", "n", "around"])
@@ -141,11 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severit
     counts = np.zeros((len(held), len(pick)))
     known = place[at] >= 0
     np.add.at(counts, (row[known], place[at[known]]), n[known])
-    density = counts.sum(1) / np.maximum(1, np.bincount(row, weights=n, minlength=len(held)))
+    words = np.bincount(row, weights=n, minlength=len(held)) / 2  # each word is there twice, whole and by its beginning
+    density = counts.sum(1) / np.maximum(1, words)
     edges = np.quantile(density[y & (density > 0)], [1 / 3, 2 / 3]) if (y & (density > 0)).any() else np.zeros(2)
     grade = np.where(y, 1 + (density > edges[0]).astype(int) + (density > edges[1]), 0)
-    weights, theta = fit_ordinal(np.log1p(counts), grade)
-    over = 1 / (1 + np.exp(-(np.log1p(counts) @ weights - theta[0])))
+    x = _values(counts, words)
+    weights, theta = fit_ordinal(x, grade)
+    over = 1 / (1 + np.exp(-(x @ weights - theta[0])))
     return Severity(vocabulary[pick], weights, theta, _edge(over, y))
 
 
