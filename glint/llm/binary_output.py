@@ -34,7 +34,7 @@ from glint.llm.words import mix
 
 SHARD = "part int, seq int, first_key long, last_key long, null_keys long, n_docs long, n_ids long, width int, payload binary, keys binary, copy binary, seeds binary, prints binary, offsets binary, counts binary"
 _EMPTY, _GOLD = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _ends: dict[str, np.ndarray] = {}
