@@ -45,6 +45,17 @@ def test_near_duplicates_equal_brute_force(spark, size, monkeypatch):
     assert all(r.kept == (i == want[i]) for i, r in got.items())
 
 
+def test_near_copies_with_text_of_their_own_in_a_large_group(spark):
+    # each is linked with the base alone, and what they share is in long lists
+    rng = random.Random(11)
+    base = prose(42, 120)
+    texts = [prose(7), *(base + "".join(f" own{i}x{k}" for k in range(rng.randrange(18, 25))) for i in range(200)), base]
+    sets = [shingles(t, 2) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in near_dups.find(docs(spark, texts), 2).collect()}
+    assert len(links) >= 200 and got == components(range(len(texts)), links)
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dups.find(docs(spark, [])).count() == 0
     df = docs(spark, [prose(1), prose(1)]).unionByName(docs(spark, [prose(1)])).withColumn("doc_id", __import__("pyspark").sql.functions.expr("if(doc_id = 1, null, doc_id)"))
