@@ -10,7 +10,8 @@ whose counts of code points (in ``BUCKETS`` classes) are near enough are pairs,
 
 Equal lines are one node, known by a 64-bit hash. Linked lines form classes (components); of each class the first
 occurrence, by doc_id and line number, is kept and all others are dropped. Keys that more than ``linking.LONG`` lines post
-are joined by stars and then across components (see ``linking``).
+are joined in blocks of so many, a task for each block, where links are counted; where only classes are asked for, by
+stars and then across components (see ``linking``).
 
 Defined cases: shorter lines, lines without a word and lines of rows without a doc_id are kept; null texts have no lines;
 rows that repeat a doc_id count as one document; lines end at \\n only; an empty table gives an empty result; further
@@ -185,28 +186,44 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return scratch.cut(near.mapInArrow(run, "a long, b long"), "line-links")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, id (the line's hash), n_links, class, kept, exact for each compared line; exact: a copy of a line that stands before it."""
+def _met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """The pairs (a, b) of posted segments and of all entries with the same key that can be links."""
+    left, right = left.select(*on, F.col("id").alias("a"), F.col("h").alias("ha")), right.select(*on, F.col("id").alias("b"), "index", F.col("h").alias("hb"))
+    return left.join(right, list(on)).where(f"a <> b and (not index or a < b) and {_CLOSE}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _met_in_blocks(posts: DataFrame, many: DataFrame) -> DataFrame:
+    """All pairs of the long lists: the posted segments of a key are dealt to blocks of about LONG, each of which meets all entries."""
+    dealt = posts.join(many.select("key", F.ceil(F.col("c") / linking.LONG).alias("blocks")), "key")
+    left = dealt.where("index").withColumn("block", F.pmod("id", "blocks"))
+    return _met(left, dealt.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))), "key", "block")
+
+
+def classes(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """doc_id, pos, id (the line's hash), n_links, class, kept, exact for each compared line; exact: a copy of a line that stands before it.
+
+    n_links are all links of the line with other texts; null if not ``counted``, which doesn't make pairs whose class is known.
+    """
     lines = _lines(docs)
     key = Window.partitionBy("key")
     posts = _posts(lines).withColumn("lo", F.min("id").over(key)).withColumn("hi", F.max("id").over(key)).withColumn("posted", F.sum(F.col("index").cast("int")).over(key))
     posts = scratch.cut(posts.where("lo <> hi and posted > 0").select("key", "id", "index").distinct(), "line-posts")
     texts = scratch.cut(_texts(posts, lines), "line-texts")
     posts = scratch.cut(posts.join(texts.select("id", "h"), "id"), "line-posts")
-    many = posts.where("index").groupBy("key").agg(F.count("*").alias("c")).where(f"c > {linking.LONG}").select("key")
+    many = posts.where("index").groupBy("key").agg(F.count("*").alias("c")).where(f"c > {linking.LONG}")
     short, long = posts.join(many, "key", "left_anti"), posts.join(many, "key", "left_semi")
-    left, right = short.where("index").select("key", F.col("id").alias("a"), F.col("h").alias("ha")), short.select("key", F.col("id").alias("b"), "index", F.col("h").alias("hb"))
-    met = left.join(right, "key").where(f"a <> b and (not index or a < b) and {_CLOSE}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(met, texts)
+    links = _verified(_met(short.where("index"), short, "key"), texts)
     long = scratch.cut(long, "line-long")
-    if not long.isEmpty():
+    if counted and not long.isEmpty():
+        links = links.union(_verified(_met_in_blocks(long, many), texts))
+    elif not long.isEmpty():
         links = links.union(_verified(linking.star(long), texts))
         links = links.union(_verified(linking.across(long, linking.components(links), ("h",), _CLOSE), texts))
     links = links.distinct()
     roots = linking.components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    named = scratch.cut(first.join(roots, "id", "left").join(degree, "id", "left").select("id", "first", F.coalesce("root", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-classes")
+    named = scratch.cut(first.join(roots, "id", "left").join(degree, "id", "left").select("id", "first", F.coalesce("root", "id").alias("class"), (F.coalesce("n_links", F.lit(0)) if counted else F.lit(None).cast("long")).alias("n_links")), "line-classes")
     keeper = named.groupBy("class").agg(F.min("first").alias("keeper"), F.count("*").alias("texts"))
     # a class of one line keeps its own first occurrence, so only the others need the keeper
     shared = named.join(keeper.where("texts > 1"), "class", "left").select("id", "class", "n_links", "first", F.coalesce("keeper", "first").alias("keeper"))
@@ -230,7 +247,7 @@ def summary(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs without the dropped lines, and without the documents that had words and have none left."""
-    dropped = classes(docs).where("not kept").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("pos").alias("_drop"))
+    dropped = classes(docs, counted=False).where("not kept").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("pos").alias("_drop"))
     joined = docs.join(dropped, F.col("doc_id").cast("long") == F.col("_of"), "left")
     rest = F.expr("array_join(filter(split(cast(text as string), '\\n'), (x, i) -> not array_contains(_drop, i)), '\\n')")
     out = joined.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest)).where(F.col("_drop").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

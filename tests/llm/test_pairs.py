@@ -123,6 +123,16 @@ def test_line_classes_equal_brute_force(spark, monkeypatch):
         assert clean.get(i, "gone") == (rest if rest == t or rest.strip() else "gone")
 
 
+def test_links_of_long_lists_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linking, "LONG", 4)
+    rng = random.Random(9)
+    bases = [prose(i, 6) for i in range(2)]
+    lines = sorted({touched(bases[i % 2], rng) for i in range(60)})
+    want = {i: sum(x != y and edit_distance(x, y) <= line_dedup.edits(min(len(x), len(y))) for y in lines) for i, x in enumerate(lines)}
+    got = {r.doc_id: r.n_links for r in line_dedup.summary(docs(spark, lines)).collect()}
+    assert got == want and max(want.values()) > 4
+
+
 def test_no_lines(spark):
     assert line_dedup.summary(docs(spark, [])).count() == 0
     assert [r.n_lines for r in line_dedup.summary(docs(spark, [None])).collect()] == [0]
