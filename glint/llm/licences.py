@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates, in DataFrame operations only.
 
-A paragraph is a line of a text, or each run of ``WINDOW`` words, a new one every ``STEP`` words, of a longer one. Its features are hashed
-words and word pairs. A multinomial logistic regression over the licence families and ``unknown`` is fitted with
+A paragraph is the run of lines between blank lines, so a notice may be wrapped; it is scanned whole and line by line, so
+that a notice of one line among others stands alone too. Of more than ``WINDOW`` words, each run of so many, a new one
+every ``STEP`` words, is scanned. Features are hashed words and word pairs. A multinomial logistic regression over the licence families and ``unknown`` is fitted with
 ``pyspark.ml`` on the templates' own sentences (whole, and with random words lost) against paragraphs of the corpus that share no
 rare template words (at most ``NEGATIVES`` of them, a documented bound, chosen by hash). A calibrated threshold, set on held-out
 training paragraphs, decides between unknown and the best family; the share of a template's word pairs that the paragraph
@@ -117,12 +118,13 @@ class Model:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), w (words) for each paragraph."""
+    """doc_id, h (hash of the text), p (number of the paragraph), w (words) for each paragraph and each of its lines, in windows."""
     # all before the explode, so that what follows refers to its output and no filter repeats the work
-    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), words)
-    cut = f"flatten(transform(filter(lines, w -> size(w) > 0), w -> if(size(w) <= {WINDOW}, array(w), transform(sequence(0, size(w) - {WINDOW - STEP} - 1, {STEP}), i -> slice(w, i + 1, {WINDOW})))))"
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), lines.alias("lines"))
-    return each.select("doc_id", "h", F.explode(F.expr(cut)).alias("w"))
+    runs = F.transform(F.split(F.col("text").cast("string"), r"\n\s*\n"), lambda r: F.filter(F.transform(F.split(r, "\n"), words), lambda w: F.size(w) > 0))
+    cut = f"transform(if(size(r) > 1, concat(r, array(flatten(r))), r), w -> if(size(w) <= {WINDOW}, array(w), transform(sequence(0, size(w) - {WINDOW - STEP} - 1, {STEP}), i -> slice(w, i + 1, {WINDOW}))))"
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), runs.alias("runs"))
+    found = each.select("doc_id", "h", F.explode(F.expr(f"flatten(transform(runs, (r, p) -> transform(flatten({cut}), w -> struct(p as p, w as w))))")).alias("f"))
+    return found.select("doc_id", "h", "f.p", "f.w")
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -172,10 +174,10 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     pairs = lambda w: F.expr(f"array_distinct(transform(slice({w}, 1, greatest(size({w}) - 1, 0)), (a, i) -> concat(a, ' ', {w}[i + 1])))")
     templates = _templates(spark).select(F.col("family").alias("f"), pairs("w").alias("tp"))
     templates = templates.groupBy("f").agg(F.collect_list("tp").alias("tps"))
-    found = found.select("doc_id", "h", "best", pairs("w").alias("pp")).join(F.broadcast(templates), F.col("best.family") == F.col("f"))  # one row for each family
+    found = found.select("doc_id", "h", "p", "best", pairs("w").alias("pp")).join(F.broadcast(templates), F.col("best.family") == F.col("f"))  # one row for each family
     cover = F.array_max(F.transform("tps", lambda t: F.size(F.array_intersect(t, F.col("pp"))) / F.greatest(F.size(t), F.lit(1))))
-    found = found.select("doc_id", "h", F.struct((cover >= COVER).alias("confirmed"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("best.odds")))).alias("score"), F.col("best.first").alias("first"), F.col("best.family").alias("family")).alias("hit"))
-    by_doc = found.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("oh")).agg(F.max("hit").alias("hit"), F.count("*").alias("n"))
+    found = found.select("doc_id", "h", "p", F.struct((cover >= COVER).alias("confirmed"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("best.odds")))).alias("score"), F.col("best.first").alias("first"), F.col("best.family").alias("family")).alias("hit"))
+    by_doc = found.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("oh")).agg(F.max("hit").alias("hit"), F.size(F.collect_set("p")).alias("n"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     rows = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh")), "left")
     family, confirmed = F.coalesce("hit.family", F.lit(UNKNOWN)), F.coalesce("hit.confirmed", F.lit(False))

@@ -1,6 +1,7 @@
 """Operators that judge, encode, mix or pack each row."""
 
 import collections
+import textwrap
 import zlib
 
 import numpy as np
@@ -192,6 +193,16 @@ def test_licences(spark):
     assert [got[n + i].licence for i in range(9)] == list(notices) * 3 and all(got[n + i].confirmed for i in range(9))
 
 
+def test_wrapped_licences(spark):
+    whole = {f: licences.TEMPLATES[f][1] for f in ("gpl", "mit")}
+    wrapped = [(f, mark.join(["", *textwrap.wrap(w, 72)]).strip("\n")) for f, w in whole.items() for mark in ("\n", "\n# ")]
+    texts = [*(prose(i) for i in range(60)), *(f"{prose(i, 20)}\n \n{w}\n\n{prose(i + 9, 20)}" for i, (_, w) in enumerate(wrapped))]
+    df = docs(spark, texts)
+    got = {r.doc_id: r for r in licences.scan(df, licences.fit(df)).collect()}
+    assert [got[60 + i].licence for i in range(4)] == [f for f, _ in wrapped] and all(got[i].licence == "unknown" for i in range(60))
+    assert all(got[60 + i].n_paragraphs == 1 for i in range(4))
+
+
 def test_neighbours_have_good_recall_and_exact_scores(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, (600, 1))
