@@ -16,6 +16,18 @@ from glint.llm import scratch
 
 LONG = 64
 STARS = 4
+FILTER = 1 << 23
+
+
+def sift(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Without most rows whose ``column`` isn't among ``ids`` (one column): what goes into a join with them, so that wide rows aren't shuffled for nothing.
+
+    A bitmap of the ids' hashes is broadcast, FILTER / 64 words at most, whatever the number of ids.
+    """
+    bits = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER)).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("_bits"))
+    own = F.pmod(F.xxhash64(column), F.lit(FILTER))
+    return rows.join(F.broadcast(words), F.shiftright(own, 6) == F.col("_word")).where(F.getbit("_bits", own % 64) == 1).drop("_word", "_bits")
 
 
 def star(posts: DataFrame) -> DataFrame:

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared scratch folder; where the session names none (tests), a local one is set."""
+    """The shared scratch folder. Where the session names none, a local one is set if driver and executors are one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-glint-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -35,7 +37,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote, once nothing will read it again."""
+    """Delete a table that ``cut`` wrote, once nothing will read it again (an executor that is lost later needs only what is still read)."""
     spark = df.sparkSession
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)

@@ -32,10 +32,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, size, monkeypatch):
-    monkeypatch.setattr(linking, "LONG", 16)
-    texts = corpus()
+def equal_brute_force(spark, texts, size):
     sets = [shingles(t, size) for t in texts]
     links = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components(range(len(texts)), links)
@@ -43,6 +40,32 @@ def test_near_duplicates_equal_brute_force(spark, size, monkeypatch):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in enumerate(sets)}
     assert {i: r.component_id for i, r in got.items()} == want
     assert all(r.kept == (i == want[i]) for i, r in got.items())
+    return links
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, size):
+    equal_brute_force(spark, corpus(), size)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("common", [near_dups.COMMON, 300])
+def test_large_groups_of_copies_with_words_of_their_own(spark, seed, common, monkeypatch):
+    # templates with copies that append, lose, replace and mix words, so that many pairs are just above or below the threshold
+    monkeypatch.setattr(near_dups, "COMMON", common)
+    monkeypatch.setattr(near_dups, "BLOCK", 50)
+    rng = random.Random(seed)
+    texts, own = [], lambda i, n: "".join(f" own{i}x{k}" for k in range(n))
+    for t in range(3):
+        base = prose(100 * seed + t, 300)
+        words = base.split()
+        texts += [mutated(base, rng, rng.randrange(1, 40)) for _ in range(60)]
+        texts += [base + own(f"{t}y{i}", rng.randrange(60, 76)) for i in range(60)]
+        texts += [" ".join(words[: rng.randrange(220, 300)]) + own(f"{t}z{i}", rng.randrange(0, 30)) for i in range(40)]
+        texts += [" ".join(w for w in words if rng.random() > 0.1) for _ in range(40)]
+        short = prose(100 * seed + t, 12)
+        texts += [mutated(short, rng, rng.randrange(2)) + own(f"{t}s{i}", rng.randrange(3)) for i in range(30)]
+    assert len(equal_brute_force(spark, texts, 2)) > 500
 
 
 def test_near_copies_with_text_of_their_own_in_a_large_group(spark):
