@@ -22,10 +22,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,12 +35,13 @@ from glint.llm.words import mix
 
 SHARD = "part int, seq int, first_key long, last_key long, null_keys long, n_docs long, n_ids long, width int, payload binary, keys binary, copy binary, seeds binary, prints binary, offsets binary, counts binary"
 _EMPTY, _GOLD = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 1_500_000
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-_ends: dict[str, np.ndarray] = {}
+CACHE_WORDS = 1_000_000
+_TOGETHER, _LENGTH = 2048, 1 << 22  # texts encoded together, and their bytes (but for one longer text)
+_MARK = r"[!-&(-/:-@\[-`{}~]"
+#: Of each word: marks, Latin letters, marks, which are separate pieces for the tokenizer (no apostrophe, and no | as in its own tokens); or the word.
+_PARTS = re.compile(rf"(?:({_MARK}*)([A-Za-zÀ-ÖØ-öø-ÿ]+)({_MARK}*)|([^ ]+))(?: |$)").findall
 _tokenizers: dict = {}
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[tuple[str, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 # ---- the index -------------------------------------------------------------------------------------------------
@@ -104,11 +106,12 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
 # ---- encoding ---------------------------------------------------------------------------------------------------
 
 
-def encoder(path: str):
-    """A function from a text to its ids (little-endian uint32 bytes).
+def encoder(path: str, width: int = 4):
+    """A function from texts to their ids (little-endian, ``width`` bytes each).
 
     The tokenizer's normaliser and splitter never look across ASCII white space, so a text's ids are those of its
-    white-space-separated words; the library encodes each word once for as long as the worker remembers it.
+    white-space-separated words; the library encodes each word once for as long as the worker remembers it. What words
+    of several texts are new is found and encoded together.
     """
     if path not in _tokenizers:
         import os
@@ -116,47 +119,70 @@ def encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path], _known[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _tokenizers[path], _known[path]
-
-    if path not in _ends:
+        tokenizer = Tokenizer.from_file(path)
         vocabulary = tokenizer.get_vocab()
-        _ends[path] = np.zeros(max(vocabulary.values()) + 1, bool)
-        _ends[path][[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    ends = _ends[path]
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = tokenizer, ends
+    tokenizer, ends = _tokenizers[path]
+    known, pieces = _known.setdefault((path, width), ({}, {}))
+    kind = np.dtype(f"<u{width}")
+
+    def stored(ids: list[int]) -> np.ndarray:
+        if ids and max(ids) >> (8 * width):
+            raise ValueError("an id needs more bytes than width")
+        return np.asarray(ids, kind)
 
     def ids_of(words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [stored(e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
     def ids_of_stems(stems: list[str]) -> list[bytes]:
         """The same for words that are one piece each: encoded as one text, whose pieces end where a token ends a word."""
-        ids = np.asarray(tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
-        stops = (np.flatnonzero(ends[ids]) + 1).tolist()
+        if not stems:
+            return []
+        ids = stored(tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids)
+        stops = ((np.flatnonzero(ends[ids]) + 1) * width).tolist()
         if len(stops) != len(stems):
             return ids_of(stems)
         raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
-
-    def parts(word: str) -> tuple[str, str]:
-        """The letters of a Latin word in lower case, and the stops after them; these are separate pieces for the tokenizer."""
-        stem = word.rstrip(".,;:!?")
-        return (stem.lower(), word[len(stem) :]) if _LATIN(stem) else ("", word)
-
-    def encode(text: str | None) -> bytes:
-        words = _WORDS(text or "")
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            cut = {w: parts(w) for w in new}
-            stems = list({a for a, _ in cut.values() if a and a not in known})
-            others = list({b for _, b in cut.values() if b and b not in known})
-            known.update(zip(stems, ids_of_stems(stems) if stems else [], strict=True))
-            known.update(zip(others, ids_of(others) if others else [], strict=True))
-            for w, (stem, rest) in cut.items():
-                if w not in known:
-                    known[w] = (known[stem] if stem else b"") + (known[rest] if rest else b"")
-        return b"".join(map(known.__getitem__, words))
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def learn(new: list[str]) -> list[bytes]:
+        if not new:
+            return []
+        cut = _PARTS(" ".join(new).lower())
+        stems = [stem for _, stem, _, _ in cut]
+        for words, encode in ((set(stems), ids_of_stems), ({m for a, _, b, _ in cut for m in (a, b)}, ids_of)):
+            words = [w for w in words if w not in pieces]
+            pieces.update(zip(words, encode(words), strict=True))
+        out = [pieces[s] if not a and not b else pieces[a] + pieces[s] + pieces[b] for a, s, b, _ in cut]
+        others = [i for i, c in enumerate(cut) if c[3]]
+        for i, x in zip(others, ids_of([new[i] for i in others]), strict=True):
+            out[i] = x
+        known.update(zip(new, out, strict=True))
+        return out
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        at, different = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        for memory in (known, pieces):
+            if len(memory) > CACHE_WORDS:  # the words met first are the frequent ones: they stay
+                kept = dict(islice(memory.items(), CACHE_WORDS // 4))
+                memory.clear()
+                memory.update(kept)
+        known[""] = pieces[""] = b""
+        found = list(map(known.get, different))
+        new = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(new, learn([different[i] for i in new]), strict=True):
+            found[i] = x
+        ids, n = np.frombuffer(b"".join(found), kind), np.fromiter(map(len, found), np.int64, len(found)) // width
+        first = np.cumsum(n) - n
+        own = n[at]
+        ends = np.cumsum(own)
+        out = ids[np.repeat(first[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stops = (np.concatenate(([0], ends))[words.offsets.to_numpy() - words.offsets[0].as_py()] * width).tolist()
+        return [out[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
     return encode
 
@@ -169,13 +195,21 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, width: int
     kind = np.dtype(f"<u{width}")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer, width), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], kind).tobytes()
         keys: list = []
         copy: list[int] = []
         pieces: list[bytes] = []
         held, last, repeat = 0, object(), 0
 
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple]:
+            keys, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
+            sizes = pc.binary_length(texts).fill_null(0).to_numpy()
+            while at < len(keys):
+                stop = at + max(1, min(_TOGETHER, int(np.searchsorted(np.cumsum(sizes[at : at + _TOGETHER]), _LENGTH))))
+                yield from zip(keys[at:stop], [x + end for x in encode(texts.slice(at, stop - at))], strict=True)
+                at = stop
+
         def close() -> pa.RecordBatch:
             null = np.array([k is None for k in keys])
             k = np.array([0 if x is None else x for x in keys], np.int64)
@@ -190,11 +224,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, width: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], _NAMES)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py()), "<u4")
-                if len(ids) and ids.max() >> (8 * width):
-                    raise ValueError("an id needs more bytes than width")
-                piece = ids.astype(kind).tobytes() + end
+            for key, piece in encoded(batch):
                 if keys and (held + len(piece) // width > shard_ids or len(keys) >= shard_docs):
                     yield close()
                     seq, held = seq + 1, 0
@@ -255,15 +285,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """The ids of one key, one list for each row that had it. The key's range picks the shards' row groups, the index the place."""
-    found = spark.read.schema(SHARD).parquet(path).where((F.col("first_key") <= doc_id) & (F.col("last_key") >= doc_id)).orderBy("part", "seq")
+    """The ids of one key, one list for each row that had it.
+
+    The key's range picks the shards, their indexes (no payload is read for that) the place, and of the payload only the ids at
+    that place come back.
+    """
+    files = spark.read.schema(SHARD).parquet(path)
+    near = files.where((F.col("first_key") <= doc_id) & (F.col("last_key") >= doc_id)).select("part", "seq", "width", "seeds", "prints", "offsets", "counts")
     out: list[list[int]] = []
-    for row in found.toLocalIterator():
+    for row in near.orderBy("part", "seq").toLocalIterator():
         seeds, prints, offsets, counts = open_index(row.asDict())
-        while True:
-            slot = find(key_hash(np.array([doc_id]), np.array([len(out)]), np.array([False])), seeds, prints)[0]
-            if slot < 0:
-                break
-            a, n, w = int(offsets[slot]), int(counts[slot]), row["width"]
-            out.append(np.frombuffer(row["payload"][a * w : (a + n) * w], f"<u{w}").tolist())
+        own, w = [], row["width"]
+        while (slot := find(key_hash(np.array([doc_id]), np.array([len(out) + len(own)]), np.array([False])), seeds, prints)[0]) >= 0:
+            own.append((int(offsets[slot]) * w + 1, int(counts[slot]) * w))
+        if own:
+            shard = files.where((F.col("part") == row["part"]) & (F.col("seq") == row["seq"]))
+            found = shard.select(*[F.substring("payload", at, n).alias(f"c{i}") for i, (at, n) in enumerate(own)]).first()
+            out += [np.frombuffer(x, f"<u{w}").tolist() for x in found]
     return out

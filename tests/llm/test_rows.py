@@ -103,6 +103,22 @@ def test_ids_round_trip_and_keyed_access(spark):
     assert binary_output.read(spark, empty).count() == 0
 
 
+def test_words_of_any_kind_are_encoded_as_the_library_does(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(binary_output, "CACHE_WORDS", 500)
+    rng, tokenizer, encode = random.Random(4), Tokenizer.from_file(TOKENS), binary_output.encoder(TOKENS, 2)
+    atoms = [*"aAéÉßÿ÷×.,;:!?'\"#$%&()*+-/<=>@[]\\^_`{|}~09 ", "\t", "\n", "\u00a0", "\u0301", "İ", "ı", "ﬁ", "中", "<|endoftext|>", "<|startoftext|>", "'s", "'RE", "’", "\x1c", "\x85", "ſ", "\u212a", "\u2126", "The", "don't", "\u200b", "😀", "x" * 300]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for at in range(0, 3000, 500):
+        got = encode(pa.array([None, *texts[at : at + 500]]).slice(1))
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts[at : at + 500], add_special_tokens=False)]
+    assert encode(pa.array([None, "", " \n"], pa.string())) == [b"", b"", b""]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 1000])
 def test_perfect_hash(n):
     h = binary_output.key_hash(np.arange(n), np.zeros(n, np.uint32), np.zeros(n, bool))
