@@ -1,21 +1,23 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``LEAST`` code points with a word are compared; two are linked if they are within ``edits(n)`` edits
-(code points inserted, deleted or replaced), n being the shorter length: one for each 15 code points, at most ``EDITS``.
+Lines with a word are compared. Two are linked if they are equal, or within ``edits(n)`` edits (code points inserted, deleted or
+replaced), n being the shorter length: one for each ``LEAST`` code points, at most ``EDITS``, so lines under ``LEAST`` must be equal.
 A line of n code points is split into edits(n) + 1 segments; of two linked lines, the longer has one of the shorter's
 segments at nearly the same place. So each line posts its segments under (length, segment number, hash), and probes for
 each length that it could be linked with the few substrings that can be such a segment (those where the edits left and
-right of the match suffice). Lines that share a key and
-whose counts of code points (in ``BUCKETS`` classes) are near enough are pairs, and these are verified by bit-parallel edit distance in a band of 2 * EDITS + 1 diagonals.
+right of the match suffice). Lines that share a key and whose counts of code points (in ``BUCKETS`` classes) are near enough
+are pairs, and these are verified by bit-parallel edit distance in a band of 2 * EDITS + 1 diagonals.
 
 Equal lines are one node, known by a 64-bit hash. Linked lines form classes (components); of each class the first
-occurrence, by doc_id and line number, is kept and all others are dropped. Keys that more than ``linking.LONG`` lines post
-are joined in blocks of so many, a task for each block, where links are counted; where only classes are asked for, by
-stars and then across components (see ``linking``).
-
-Defined cases: shorter lines, lines without a word and lines of rows without a doc_id are kept; null texts have no lines;
-rows that repeat a doc_id count as one document; lines end at \\n only; an empty table gives an empty result; further
-columns are untouched.
+occurrence, by doc_id, the text's hash and line number, is kept and all others are dropped. Keys that more than
+``linking.LONG`` lines post are joined in blocks of so many, a task for each block, where links are counted; where only classes
+are asked for, by stars and then across components (see ``linking``). A line that makes up a large share of all is dealt to
+``SALT`` tasks where occurrences are looked up.
+
+Defined cases: lines without a word and lines of rows without a doc_id are kept; null texts have no lines; rows that repeat a
+doc_id with another text are documents of their own; of rows that repeat both, the first keeps its lines and all lines
+of the others are copies; lines end at \\n only; an empty table gives an empty result; further columns, whatever their
+names, are untouched.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ from glint.llm.words import _BASE, _power, mix
 LEAST = 15
 EDITS = 2
 BUCKETS = 32
+HOT = 256
+SALT = 64
 _BLOCK = 1 << 20
 _M = 1 << 64
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def edits(n):
@@ -131,9 +136,15 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    line = F.posexplode(F.split(F.col("text").cast("string"), "\n"))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), line.alias("pos", "line"))
-    return rows.where((F.length("line") >= LEAST) & F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
+    """doc_id, h (hash of the text), pos, line and its id, for each line with a word."""
+    text = F.col("text").cast("string")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return rows.where(F.col("line").rlike(_WORD)).withColumn("id", F.xxhash64("line"))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_id, h and how many rows have them."""
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h")).agg(F.count("*").alias("copies"))
 
 
 def _posts(lines: DataFrame) -> DataFrame:
@@ -164,9 +175,10 @@ def _texts(posts: DataFrame, lines: DataFrame) -> DataFrame:
             found = [np.bincount(np.frombuffer(t.as_py().encode("utf-32-le", "surrogatepass"), np.uint32) % BUCKETS, minlength=BUCKETS).tolist() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], ["id", "line", "h"])
 
-    # the ids grow with the input, so their join is never a broadcast
-    own = lines.select("id", "line").join(posts.select("id").distinct().hint("merge"), "id", "left_semi")
-    return own.groupBy("id").agg(F.first("line").alias("line")).mapInArrow(run, "id long, line string, h array<int>")
+    # the ids grow with the input, so their join is never a broadcast; equal lines are one before they meet
+    ids = posts.select("id").distinct()
+    own = linking.sift(lines.select("id", "line"), "id", ids).groupBy("id").agg(F.first("line").alias("line"))
+    return own.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, line string, h array<int>")
 
 
 #: An edit changes at most two of the counts by one.
@@ -200,16 +212,17 @@ def _met_in_blocks(posts: DataFrame, many: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, counted: bool = True) -> DataFrame:
-    """doc_id, pos, id (the line's hash), n_links, class, kept, exact for each compared line; exact: a copy of a line that stands before it.
+    """doc_id, h (hash of the text), pos, id (the line's hash), n_links, class, kept, exact for each compared line; exact: a copy of a line that stands before it.
 
     n_links are all links of the line with other texts; null if not ``counted``, which doesn't make pairs whose class is known.
     """
     lines = _lines(docs)
     key = Window.partitionBy("key")
-    posts = _posts(lines).withColumn("lo", F.min("id").over(key)).withColumn("hi", F.max("id").over(key)).withColumn("posted", F.sum(F.col("index").cast("int")).over(key))
+    posts = _posts(lines.where(F.length("line") >= LEAST)).withColumn("lo", F.min("id").over(key)).withColumn("hi", F.max("id").over(key)).withColumn("posted", F.sum(F.col("index").cast("int")).over(key))
     posts = scratch.cut(posts.where("lo <> hi and posted > 0").select("key", "id", "index").distinct(), "line-posts")
     texts = scratch.cut(_texts(posts, lines), "line-texts")
-    posts = scratch.cut(posts.join(texts.select("id", "h"), "id"), "line-posts")
+    bare, posts = posts, scratch.cut(posts.join(texts.select("id", "h"), "id"), "line-posts")
+    scratch.drop(bare)
     many = posts.where("index").groupBy("key").agg(F.count("*").alias("c")).where(f"c > {linking.LONG}")
     short, long = posts.join(many, "key", "left_anti"), posts.join(many, "key", "left_semi")
     links = _verified(_met(short.where("index"), short, "key"), texts)
@@ -219,38 +232,59 @@ def classes(docs: DataFrame, counted: bool = True) -> DataFrame:
     elif not long.isEmpty():
         links = links.union(_verified(linking.star(long), texts))
         links = links.union(_verified(linking.across(long, linking.components(links), ("h",), _CLOSE), texts))
-    links = links.distinct()
+    links = scratch.cut(links.distinct(), "line-links")
+    for done in (posts, texts, long):
+        scratch.drop(done)
     roots = linking.components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    named = scratch.cut(first.join(roots, "id", "left").join(degree, "id", "left").select("id", "first", F.coalesce("root", "id").alias("class"), (F.coalesce("n_links", F.lit(0)) if counted else F.lit(None).cast("long")).alias("n_links")), "line-classes")
+    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count("*").alias("c"))
+    named = scratch.cut(first.join(roots, "id", "left").join(degree, "id", "left").select("id", "first", "c", F.coalesce("root", "id").alias("class"), (F.coalesce("n_links", F.lit(0)) if counted else F.lit(None).cast("long")).alias("n_links")), "line-classes")
     keeper = named.groupBy("class").agg(F.min("first").alias("keeper"), F.count("*").alias("texts"))
     # a class of one line keeps its own first occurrence, so only the others need the keeper
-    shared = named.join(keeper.where("texts > 1"), "class", "left").select("id", "class", "n_links", "first", F.coalesce("keeper", "first").alias("keeper"))
-    here = F.struct("doc_id", "pos")
-    return lines.select("doc_id", "pos", "id").join(shared, "id").select("doc_id", "pos", "id", "n_links", "class", (here == F.col("keeper")).alias("kept"), (here != F.col("first")).alias("exact"))
+    shared = named.join(keeper.where("texts > 1"), "class", "left").select("id", "c", "class", "n_links", "first", F.coalesce("keeper", "first").alias("keeper"))
+    total = named.agg(F.sum("c")).first()[0] or 0
+    hot = F.col("c") * HOT > total  # so many lines can't be more than HOT
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALT))).otherwise(F.lit(0).cast("long"))
+    dealt = lines.select("doc_id", "h", "pos", "id").join(F.broadcast(named.where(hot).select("id", F.lit(True).alias("hot"))), "id", "left").withColumn("salt", salt)
+    shared = shared.withColumn("salt", F.explode(F.when(hot, F.expr(f"sequence(0L, {SALT - 1}L)")).otherwise(F.expr("array(0L)"))))
+    here = F.struct("doc_id", "h", "pos")
+    return dealt.join(shared, ["id", "salt"]).select("doc_id", "h", "pos", "id", "n_links", "class", (here == F.col("keeper")).alias("kept"), (here != F.col("first")).alias("exact"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_lines compared, n_kept, n_exact and n_near (dropped as copies, as near copies), n_links and class_id.
 
-    n_links sums the links of its different lines with other texts; class_id is the class of its first compared line.
+    n_links sums the links of its lines with other texts; class_id is the class of its first compared line.
     """
     found = classes(docs)
     n = lambda c: F.count_if(c).alias
-    by_doc = found.groupBy(F.col("doc_id").alias("of")).agg(
+    by_doc = found.groupBy("doc_id", "h").agg(
         F.count("*").alias("n_lines"), n(F.col("kept"))("n_kept"), n(~F.col("kept") & F.col("exact"))("n_exact"), n(~F.col("kept") & ~F.col("exact"))("n_near"), F.sum("n_links").alias("n_links"), F.min_by("class", "pos").alias("class_id")
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(by_doc, F.col("doc_id") == F.col("of"), "left")
-    return rows.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_kept", "n_exact", "n_near", "n_links")], "class_id")
+    rows = _copies(docs).join(by_doc, ["doc_id", "h"], "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # rows that repeat a document have each its lines once, and those after the first only copies
+    one = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_lines", "n_kept", "n_exact", "n_near", "n_links")}
+    one = {c: F.floor(v / F.col("copies")) for c, v in one.items()}
+    later = {**one, "n_kept": F.lit(0), "n_exact": one["n_lines"], "n_near": F.lit(0)}
+    return rows.select("doc_id", *[F.when(F.col("nth") == 1, one[c]).otherwise(later[c]).cast("long").alias(c) for c in one], "class_id")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs without the dropped lines, and without the documents that had words and have none left."""
-    dropped = classes(docs, counted=False).where("not kept").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("pos").alias("_drop"))
-    joined = docs.join(dropped, F.col("doc_id").cast("long") == F.col("_of"), "left")
-    rest = F.expr("array_join(filter(split(cast(text as string), '\\n'), (x, i) -> not array_contains(_drop, i)), '\\n')")
-    out = joined.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest)).where(F.col("_drop").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    text = F.col(at["text"]).cast("string")
+    dropped = classes(docs, counted=False).where("not kept").groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone"))
+    again = _copies(docs.where(F.col("text").cast("string").rlike(_WORD) & F.col("doc_id").isNotNull())).where("copies > 1")
+    marked = dropped.join(again, ["doc_id", "h"], "full")
+    joined = rows.withColumn("h", F.xxhash64(text)).withColumn("doc_id", F.col(at["doc_id"]).cast("long")).join(marked, ["doc_id", "h"], "left")
+    held = [*rows.columns, "gone"]
+    # of rows that repeat a document one is left, and they meet only after each task has chosen one
+    one = joined.where("copies > 1").groupBy("doc_id", "h").agg(F.min_by(F.struct(*held), F.xxhash64(F.to_json(F.struct(*rows.columns)))).alias("r")).select("r.*")
+    joined = joined.where("copies is null").select(*held).union(one)
+    lines = F.split(text, "\n")
+    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n")
+    out = joined.withColumn("rest", F.when(F.col("gone").isNotNull(), rest)).where(F.col("rest").isNull() | F.col("rest").rlike(_WORD))
+    new = {"text": F.coalesce("rest", text), "n_chars": F.coalesce(F.length("rest"), F.col(at["n_chars"])) if "n_chars" in at else None}
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(at[c])).alias(c) for c in names])

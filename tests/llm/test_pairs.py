@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glint.llm import line_dedup, linking, near_dups
 from tests.llm.helpers import ODD, components, docs, edit_distance, prose, shingles
@@ -125,9 +126,9 @@ def test_linked_lines_share_a_key():
 def test_line_classes_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linking, "LONG", 4)
     rng = random.Random(8)
-    base = [prose(i, 6) for i in range(8)] + ["short line 1", "exactly 15 chars"[:15], "exactly 16 chars"]
-    texts = [None, "", "\n"] + ["\n".join(touched(l, rng) for l in rng.sample(base, 4)) for _ in range(25)]
-    lines = [(i, p, l) for i, t in enumerate(texts) if t is not None for p, l in enumerate(t.split("\n")) if len(l) >= 15 and l.strip()]
+    base = [prose(i, 6) for i in range(8)] + ["short line 1", "exactly 15 chars"[:15], "exactly 16 chars", "x"]
+    texts = [None, "", "\n"] + ["\n".join(touched(l, rng) if len(l) > 12 else l for l in rng.sample(base, 4)) for _ in range(25)]
+    lines = [(i, p, l) for i, t in enumerate(texts) if t is not None for p, l in enumerate(t.split("\n")) if l.strip()]
     different = sorted({l for *_, l in lines})
     links = [(a, b) for b in range(len(different)) for a in range(b) if edit_distance(different[a], different[b]) <= line_dedup.edits(min(len(different[a]), len(different[b])))]
     cls = components(range(len(different)), links)
@@ -146,6 +147,17 @@ def test_line_classes_equal_brute_force(spark, monkeypatch):
         assert clean.get(i, "gone") == (rest if rest == t or rest.strip() else "gone")
 
 
+def test_rows_that_repeat_a_document(spark):
+    shared, alone = prose(1, 8), prose(2, 8)
+    rows = [(1, shared), (5, shared), (5, alone), (5, alone), (7, "own line of seven\nno"), (7, "own line of seven\nno"), (8, "no"), (9, " "), (9, " "), (None, shared), (None, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit("x")).withColumn("h", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("copies", F.lit(3))
+    out = line_dedup.cleaned(df)
+    assert out.columns == df.columns and {(r.gone, r.h, r.c0, r.copies) for r in out.collect()} == {("x", 1, 2, 3)}
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("1", shared), ("5", alone), ("7", "own line of seven\nno"), ("9", " "), ("9", " "), ("None", shared), ("None", shared)])
+    got = sorted((str(r.doc_id), r.n_lines, r.n_kept, r.n_exact) for r in line_dedup.summary(df).collect())
+    assert got == sorted([("1", 1, 1, 0), ("5", 1, 0, 1), ("5", 1, 1, 0), ("5", 1, 0, 1), ("7", 2, 2, 0), ("7", 2, 0, 2), ("8", 1, 0, 1), ("9", 0, 0, 0), ("9", 0, 0, 0), ("None", 0, 0, 0), ("None", 0, 0, 0)])
+
+
 def test_links_of_long_lists_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linking, "LONG", 4)
     rng = random.Random(9)
