@@ -98,13 +98,12 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, margin: float = MARGIN) -> Centroids:
     """Learn from the text and language of the rows where ``train`` holds."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labelled = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id")).alias("h"))
-    sizes = labelled.groupBy("lang").count()
+    labelled = F.col("lang").isNotNull() & F.col("text").isNotNull()
+    rows = docs.where(train & labelled).select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id")).alias("h"), F.col("text").cast("string").alias("text"))
+    sizes = rows.groupBy("lang").count()  # a row for each language
     # a share of each language by hash, enough for its bound, then exactly the bound
-    sizes = sizes.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("count")).alias("share"))
-    near = rows.withColumn("lang", F.col("lang").cast("string")).withColumn("h", F.xxhash64(F.col("doc_id"))).join(F.broadcast(sizes), F.col("lang") == F.col("of"))
-    near = near.where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "h", F.col("text").cast("string").alias("text"))
+    sizes = sizes.select("lang", F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("count")).alias("share"))
+    near = rows.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "h", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

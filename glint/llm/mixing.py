@@ -82,15 +82,19 @@ def plan(docs: DataFrame, weights: list[float], max_epochs: int = 3, seed: str =
 
 def mixed(docs: DataFrame, weights: list[float], max_epochs: int = 3, seed: str = "mix:") -> DataFrame:
     """The mix itself, with the columns of docs: a document once for each time it is taken; at a source's edge, its first words up to the budget."""
-    planned = plan(docs, weights, max_epochs, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    planned = planned.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_tie", "_size").orderBy(F.col("_taken").desc())))
-    text = F.col("text").cast("string")
-    numbered = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64(text)).orderBy(F.lit(0))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(text) == F.col("_tie")) & (F.col("_nth") == F.col("_copy"))
-    joined = numbered.join(planned.where("_taken > 0"), same)
-    repeats = F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), i -> least(_size, _taken - (i - 1) * _size))")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    out = joined.withColumn("_words", F.explode(repeats)).withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(head))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    names = docs.columns
+    at = {c: F.col(f"c{i}") for i, c in enumerate(names)}  # so that no further column has a name used here
+    text = at["text"].cast("string")
+    planned = plan(docs, weights, max_epochs, seed).select("doc_id", "source", "tie", "size", "taken")
+    planned = planned.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "tie", "size").orderBy(F.col("taken").desc())))
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy(at["doc_id"], at["source"], F.xxhash64(text)).orderBy(F.lit(0))))
+    same = at["doc_id"].cast("long").eqNullSafe(F.col("doc_id")) & at["source"].cast("string").eqNullSafe(F.col("source")) & (F.xxhash64(text) == F.col("tie")) & (F.col("own") == F.col("nth"))
+    repeats = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")
+    out = rows.join(planned.where("taken > 0"), same).withColumn("words", F.explode(repeats))
+    whole = F.col("words") == F.col("size")
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    new = {"text": F.when(whole, text).otherwise(head)}
+    if "n_chars" in at:
+        new["n_chars"] = F.when(whole, at["n_chars"]).otherwise(F.length(new["text"]))
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else at[c]).alias(c) for c in names])

@@ -13,7 +13,8 @@ The next piece of the same size, cluster and source goes on where the last searc
 be in conflict; so a group of many copies is packed in one pass over the bins.
 
 Defined cases: null text or one without words is a piece of size 0 that needs a bin as any other; null source and null
-cluster are in conflict with nothing; equal sizes go by cluster, source, doc_id; repeated rows are packed each; an empty
+cluster are in conflict with nothing; equal sizes go by cluster, source, doc_id, so
+reruns agree; repeated rows are packed each; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -101,13 +102,15 @@ def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACIT
     pieces = rows.withColumn("full", full).withColumn("shard", shard).withColumn("rest", F.col("words") - F.col("full") * capacity)
 
     def run(key, table):
-        names, bits = {}, {}
-        source = [names.setdefault(s, 1 << len(names)) if s is not None else 0 for s in table["source"].to_pylist()]
+        # bits are numbered by value, not by order of arrival, so reruns agree
+        sources = table["source"].to_pylist()
+        names = {s: 1 << i for i, s in enumerate(sorted(set(sources) - {None}))}
+        source = [names.get(s, 0) for s in sources]
         # a cluster with one piece in the shard is in conflict with nothing, and needs no bit
         clusters = table["cluster"].to_pylist()
         values, counts = np.unique([c for c in clusters if c is not None], return_counts=True)
-        shared = set(values[counts > 1].tolist())
-        cluster = [bits.setdefault(c, 1 << len(bits)) if c in shared else 0 for c in clusters]
+        bits = {c: 1 << i for i, c in enumerate(values[counts > 1].tolist())}
+        cluster = [bits.get(c, 0) for c in clusters]
         size, ids, full = (table[c].to_pylist() for c in ("rest", "doc_id", "full"))
         order = sorted(range(len(ids)), key=lambda i: (-size[i], cluster[i], source[i], ids[i] is None, ids[i] or 0))
         bins = Bins(capacity, per_source)
@@ -117,7 +120,7 @@ def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACIT
         out: list[tuple] = []
         more = len(bins.clusters)
         shard_no = key[0].as_py()
-        for i, (s, (b, start)) in enumerate(zip(table["source"].to_pylist(), put, strict=True)):
+        for i, (s, (b, start)) in enumerate(zip(sources, put, strict=True)):
             for p in range(full[i]):
                 out.append((ids[i], s, p, capacity, shard_no, more, 0))
                 more += 1

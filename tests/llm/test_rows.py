@@ -57,7 +57,8 @@ def test_mixing_meets_targets(spark):
     sources = [None, "a", "b", "c"] * 20
     df = docs(spark, texts, sources)
     rows = mixing.plan(df, [5, 2, 1]).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.plan(df.repartition(7), [5, 2, 1]).collect())) if all(r.source for r in rows) else True
+    by_text = lambda found: sorted(map(str, map(tuple, found)))
+    assert by_text(rows) == by_text(mixing.plan(df.repartition(7), [5, 2, 1]).collect())
     by = collections.defaultdict(list)
     for r in rows:
         by[r.source].append(r)
@@ -65,8 +66,9 @@ def test_mixing_meets_targets(spark):
     for r in by.values():
         assert abs(sum(x.taken for x in r) - r[0].target) < 1 and r[0].target <= 3 * r[0].source_size + 1e-9
         assert all(x.taken <= 3 * x.size for x in r)
+    df = df.selectExpr("*", "'a' as taken", "1 as nth", "'x' as c0", "2 as words", "3 as own", "4 as tie")
     mixed = mixing.mixed(df, [5, 2, 1])
-    assert mixed.columns == df.columns
+    assert mixed.columns == df.columns and {(r.taken, r.nth, r.c0, r.words, r.own, r.tie) for r in mixed.collect()} == {("a", 1, "x", 2, 3, 4)}
     words = collections.Counter()
     for r in mixed.collect():
         words[r.source] += len(WORD.findall(r.text))
@@ -160,13 +162,42 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert b.put(3, 0, 1) == (0, 0) and b.put(3, 0, 1) == (1, 0) and b.put(3, 0, 2) == (0, 3)
 
 
+def test_packing_equals_a_search_of_all_bins(spark):
+    # best fit by its definition: of all bins that hold the piece and are in no conflict, the fullest, and of these the one that got so first
+    rng = np.random.default_rng(6)
+    texts = [prose(int(rng.integers(30)), int(rng.integers(1, 90))) for _ in range(300)]
+    texts = [texts[int(rng.integers(60))] if rng.random() < 0.3 else t for t in texts]
+    sources = [[None, "a", "b", "c", "d"][int(rng.integers(5))] for _ in texts]
+    got = {r.doc_id: (r.bin, r.start) for r in packing.pack(docs(spark, texts, sources), capacity=100, per_source=2).collect()}
+    again = {r.doc_id: (r.bin, r.start) for r in packing.pack(docs(spark, texts, sources).repartition(9).orderBy(F.rand(3)), capacity=100, per_source=2).collect()}
+    assert got == again
+    plain = [" ".join(WORD.findall(t)).lower() for t in texts]
+    hashed = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "i long, t string").select("i", F.xxhash64("t")).collect()
+    shared = {h for h, n in collections.Counter(h for _, h in hashed).items() if n > 1}
+    rank = {h: k for k, h in enumerate(sorted(shared))}
+    order = sorted(hashed, key=lambda x: (-len(WORD.findall(texts[x[0]])), rank.get(x[1], -1), ["", "a", "b", "c", "d"].index(sources[x[0]] or ""), x[0]))
+    bins, since, want = [], [], {}
+    for step, (i, h) in enumerate(order):
+        n = len(WORD.findall(texts[i]))
+        used = [sum(x[0] for x in b) for b in bins]
+        fits = [k for k, b in enumerate(bins) if used[k] + n <= 100 and used[k] < 100 and h not in {x[1] for x in b} and (sources[i] is None or [x[2] for x in b].count(sources[i]) < 2)]
+        k = min(fits, key=lambda k: (100 - used[k], since[k])) if fits else len(bins)
+        if k == len(bins):
+            bins.append([])
+            since.append(0)
+        want[i] = (k, sum(x[0] for x in bins[k]))
+        bins[k].append((n, h, sources[i]))
+        since[k] = step
+    assert got == want
+
+
 def test_language_id(spark):
     letters = {"aa": "abcde", "bb": "vwxyz"}
     rng = np.random.default_rng(0)
     make = lambda l: " ".join("".join(rng.choice(list(letters[l]), 5)) for _ in range(40))
     langs = ["aa", "bb", None] * 40
     texts = [make(l or "aa") for l in langs]
-    df = docs(spark, [*ODD, *texts], langs=[None] * len(ODD) + langs)
+    df = docs(spark, [*ODD, *texts], langs=[None] * len(ODD) + langs).selectExpr("*", "1 as of", "2 as share", "3 as h", "4 as count")
     model = language_id.fit(df, ~language_id.held_out(), per_language=20)
     got = {r.doc_id: r for r in language_id.predict(df, model, "doc_id").collect()}
     assert all(got[i + len(ODD)].lang_pred == (l or "aa") for i, l in enumerate(langs))
