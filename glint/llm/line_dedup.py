@@ -275,16 +275,17 @@ def cleaned(docs: DataFrame) -> DataFrame:
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {c: f"c{i}" for i, c in enumerate(names)}
     text = F.col(at["text"]).cast("string")
-    dropped = classes(docs, counted=False).where("not kept").groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone"))
+    dropped = classes(docs, counted=False).groupBy("doc_id", "h").agg(F.collect_list(F.when(~F.col("kept"), F.col("pos"))).alias("gone"), F.count_if("kept").alias("left")).where("size(gone) > 0")
     again = _copies(docs.where(F.col("text").cast("string").rlike(_WORD) & F.col("doc_id").isNotNull())).where("copies > 1")
     marked = dropped.join(again, ["doc_id", "h"], "full")
     joined = rows.withColumn("h", F.xxhash64(text)).withColumn("doc_id", F.col(at["doc_id"]).cast("long")).join(marked, ["doc_id", "h"], "left")
+    joined = joined.where("left is null or left > 0")
     held = [*rows.columns, "gone"]
     # of rows that repeat a document one is left, and they meet only after each task has chosen one
     one = joined.where("copies > 1").groupBy("doc_id", "h").agg(F.min_by(F.struct(*held), F.xxhash64(F.to_json(F.struct(*rows.columns)))).alias("r")).select("r.*")
     joined = joined.where("copies is null").select(*held).union(one)
-    lines = F.split(text, "\n")
-    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n")
-    out = joined.withColumn("rest", F.when(F.col("gone").isNotNull(), rest)).where(F.col("rest").isNull() | F.col("rest").rlike(_WORD))
+    # the lines are split once for a text: they are a variable of the outer function
+    rest = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n"))
+    out = joined.withColumn("rest", F.when(F.col("gone").isNotNull(), F.get(rest, F.lit(0))))
     new = {"text": F.coalesce("rest", text), "n_chars": F.coalesce(F.length("rest"), F.col(at["n_chars"])) if "n_chars" in at else None}
     return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(at[c])).alias(c) for c in names])
