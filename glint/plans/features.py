@@ -87,3 +87,13 @@ def finite(names: list[str]) -> Column:
     """All values are finite and of less than the largest double's modulus."""
     values = F.array(*[F.col(c).cast("double") for c in names])
     return F.forall(values, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(1.7976931348623157e308)), F.lit(False)))
+
+
+def only_finite(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``keys`` and ``names`` of the rows whose values are all finite.
+
+    The values pass a generator first: a test directly on them would be pushed below the staged selects, with every
+    feature's whole expression written out in it.
+    """
+    one = df.select(*keys, F.explode(F.array(F.struct(*names))).alias("f"))
+    return one.where(finite([f"f.{c}" for c in names])).select(*keys, *[F.col(f"f.{c}").alias(c) for c in names])

@@ -98,7 +98,7 @@ def q_distance(spark, d):
     return t.select(*KEY, six(quality.slant_distance(*args), "slant"), six(quality.ground_distance(*args), "ground"))
 
 
-@query(f"WITH t AS (SELECT {_KEY}, {_DIST} FROM lineitem) SELECT count(*) AS n, 0::bigint AS n_off FROM t")
+@query(f"WITH t AS (SELECT {_KEY}, {_DIST} FROM lineitem) SELECT count(*) AS n, count(*) FILTER (abs(sqrt(power((ac-sp)*sin(radians(inc))/cos(radians(inc)), 2) + power(ac-sp, 2)) - abs((ac-sp)/cos(radians(inc)))) > 1e-6) AS n_off FROM t")
 def q_hypotenuse(spark, d):
     t = tables.table(spark, d, "lineitem").select((F.col("l_quantity") * 100).alias("ac"), (F.col("l_tax") * 100).alias("sp"), (F.col("l_discount") * 500).alias("inc"))
     args = F.col("ac"), F.col("sp"), F.col("inc")
@@ -215,11 +215,12 @@ def q_features_region_diffs(spark, d):
     return _vectors(spark, d, [f"{r}_center_{s}_diff" for r in X.REGIONS[:4] for s in X.DIFF_STATS])
 
 
-@query("SELECT count(*) AS n, count(*) AS n_finite, 134 AS n_features FROM embeddings")
+@query(f"WITH {_VEC}, v AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS s, min(x) AS lo, max(x) AS hi FROM cell GROUP BY 1) SELECT (SELECT count(*) FROM embeddings) AS n, count(*) FILTER (isfinite(m) AND isfinite(lo) AND isfinite(hi) AND m > 0 AND s > 0) AS n_finite, {len(X.feature_names())} AS n_features FROM v")
 def q_finite_mask(spark, d):
     names = X.feature_names()
     f = X.features(tables.vectors(spark, d), "ddm", ["vec_id"], 8, 8)
-    return f.agg(F.count("*").alias("n"), F.count_if(X.finite(names)).alias("n_finite")).withColumn("n_features", F.lit(len(names)))
+    left = X.only_finite(f, ["vec_id"], names).agg(F.count("*").alias("n_finite"))
+    return tables.vectors(spark, d).agg(F.count("*").alias("n")).join(left, how="cross").withColumn("n_features", F.lit(len(names)))  # a row each
 
 
 @query(f"WITH {_VEC}, v AS (SELECT vec_id, CASE WHEN coalesce(any_value(code),0) BETWEEN 1 AND 7 THEN 1 ELSE 0 END AS y, avg(x) AS m, stddev_pop(x) AS s, max(x) AS p FROM cell GROUP BY 1) SELECT y, count(*) AS n, {_r('avg(m)', 'mean')}, {_r('avg(s)', 'std')}, {_r('stddev_pop(p)', 'peak_spread')} FROM v GROUP BY 1")
@@ -227,7 +228,7 @@ def q_feature_table(spark, d):
     """The flagship: valid vectors, label, features, finite rows, and a summary by label."""
     v = tables.vectors(spark, d).where(quality.valid_vector("ddm", 64)).withColumn("y", quality.binary_label(F.col("code")))
     wanted = ["mean", "std", "min", "max", "median", "range", "skew", "kurtosis", "entropy", "gini", "peak_index", "peak_value", "center_of_mass", "inertia"]
-    f = X.features(v, "ddm", ["vec_id", "y"], 8, 8, wanted).where(X.finite(wanted))
+    f = X.only_finite(X.features(v, "ddm", ["vec_id", "y"], 8, 8, wanted), ["vec_id", "y"], wanted)
     return f.groupBy("y").agg(F.count("*").alias("n"), six(F.avg("mean"), "mean"), six(F.avg("std"), "std"), six(F.stddev_pop("peak_value"), "peak_spread"))
 
 
@@ -640,7 +641,7 @@ _FIT = ["mean", "std", "skew", "kurtosis", "entropy", "gini", "peak_index", "cen
 def _training(spark, d) -> DataFrame:
     v = tables.vectors(spark, d).withColumn("y", quality.binary_label(F.col("code")))
     f = X.features(v, "ddm", ["vec_id", "y"], 8, 8, _FIT)
-    return stats.standard_scale(f.where(X.finite(_FIT)).cache(), _FIT).withColumn("y", F.col("y").cast("double"))
+    return stats.standard_scale(X.only_finite(f, ["vec_id", "y"], _FIT).cache(), _FIT).withColumn("y", F.col("y").cast("double"))
 
 
 @query()

@@ -17,7 +17,7 @@ def test_registry_without_the_llm_subpackage(monkeypatch):
     sys.modules.pop("__spark_entry__", None)
 
 
-@pytest.mark.parametrize("name", ["q_quality_filtered", "q_features_regions", "q_threshold_sweep", "q_stratified_sample", "q_roc_auc", "q_fill_and_filter", "q_class_report"])
+@pytest.mark.parametrize("name", ["q_quality_filtered", "q_features_regions", "q_threshold_sweep", "q_stratified_sample", "q_roc_auc", "q_fill_and_filter", "q_class_report", "q_hypotenuse", "q_finite_mask", "q_feature_table"])
 def test_query_equals_its_sql(spark, name):
     from glint.plans import queries
 
@@ -32,6 +32,13 @@ def test_query_equals_its_sql(spark, name):
     assert key(got.select(cols).collect()) == key(want)
 
 
+def test_finite_rows_are_picked_without_the_features_in_the_filter(spark):
+    from glint.plans import queries
+
+    plan = queries.q_feature_table(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("aggregate(") for line in plan.split("\n") if "Filter" in line) <= 1
+
+
 def test_flagship(spark):
     import __spark_entry__ as entry
 
