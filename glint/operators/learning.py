@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import random
 
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.operators.stats import standard_scale
+from glint.operators.stats import scale_fit, scaled, standard_scale
 
 
 def assembled(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -22,9 +24,9 @@ def assembled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def pca(df: DataFrame, cols: list[str], k: int = 2) -> tuple[DataFrame, list[float]]:
     """Centred components pc1.. and the shares of variance they explain."""
-    scaled = assembled(standard_scale(df, cols), cols)
-    model = PCA(k=k, inputCol="features", outputCol="pc").fit(scaled)
-    out = model.transform(scaled).withColumn("pc", vector_to_array("pc"))
+    data = assembled(standard_scale(df, cols), cols)
+    model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
+    out = model.transform(data).withColumn("pc", vector_to_array("pc"))
     return out.select("*", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)]).drop("features", "pc"), model.explainedVariance.toArray().tolist()
 
 
@@ -78,4 +80,51 @@ def tree_stats(model) -> list[tuple[int, int, int]]:
     return [(i, t.depth, (t.numNodes + 1) // 2) for i, t in enumerate(model.trees)]
 
 
-__all__ = ["Pipeline", "assembled", "boosted", "finalise", "forest", "grid", "importances", "pca", "random_params", "scored", "search", "tree_stats"]
+def cumulative_variance(df: DataFrame, cols: list[str], k: int = 50) -> DataFrame:
+    """component, share and cumulative share of the variance of the scaled columns, for the first k components (all, if fewer)."""
+    _, shares = pca(df, cols, min(k, len(cols)))
+    rows, total = [], 0.0
+    for i, v in enumerate(shares, 1):
+        total += v
+        rows.append((i, float(v), total))
+    return df.sparkSession.createDataFrame(rows, "component int, share double, cumulative double")  # k rows
+
+
+def selected(df: DataFrame, cols: list[str], share: float = 0.4) -> list[str]:
+    """The ``share`` of the columns that tell the label best (F test), in their order."""
+    est = UnivariateFeatureSelector(featuresCol="features", labelCol="y", outputCol="chosen", selectionMode="percentile").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(share)
+    return [cols[i] for i in sorted(est.fit(assembled(df, cols)).selectedFeatures)]
+
+
+def params_of(model) -> dict[str, object]:
+    """The parameters that were set, by name."""
+    return {p.name: v for p, v in model.extractParamMap().items() if model.isSet(p) and isinstance(v, (bool, int, float, str))}
+
+
+def save(model, path: str, scale: DataFrame | None = None) -> None:
+    """Model, parameters (JSON) and, if given, the row of ``stats.scale_fit``, below ``path``; what was there is replaced."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(params_of(model), sort_keys=True),)], "value string").write.mode("overwrite").text(f"{path}/params")
+    if scale is not None:
+        scale.write.mode("overwrite").parquet(f"{path}/scale")
+
+
+def load(path: str) -> tuple:
+    """(model, parameters) as ``save`` wrote them; ``load_scale`` reads the scaler."""
+    spark = SparkSession.active()
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark), json.loads(spark.read.text(f"{path}/params").first()[0])
+
+
+def load_scale(path: str) -> DataFrame:
+    return SparkSession.active().read.parquet(f"{path}/scale")
+
+
+def finalise_saved(path: str, est: Estimator, full: DataFrame, cols: list[str], rescale: bool = True):
+    """The saved parameters fitted on the larger set, scaled by its own fit or by the saved one. (model, importances before and after)."""
+    old, params = load(path)
+    fit = scale_fit(full, cols) if rescale else load_scale(path)
+    data = assembled(scaled(full, fit, cols), cols)
+    new = finalise(est, {getattr(est, k): v for k, v in params.items() if est.hasParam(k)}, data)
+    both = importances(old, cols).withColumnRenamed("importance", "base").join(importances(new, cols).withColumnRenamed("importance", "final"), "feature")
+    return new, both.withColumn("change", F.col("final") - F.col("base"))

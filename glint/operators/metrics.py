@@ -1,10 +1,12 @@
-"""Metrics of binary scores. Scores are first counted by value (thousandths), so what is windowed is small whatever the input."""
+"""Metrics of binary scores. Scores are first counted by value; curves then run within ranges of the score (``stats.prefixed``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glint.operators.stats import prefixed
+
 BETAS = {"f1": 1.0, "f0_5": 0.5, "f2": 2.0, "f0_1": 0.1, "f0_3": 0.3, "f0_7": 0.7, "f1_5": 1.5, "f3": 3.0, "f5": 5.0}
 STRATEGIES = {"max_f1": "f1", "max_balanced_accuracy": "balanced_accuracy", "max_mcc": "mcc", "max_f2": "f2", "max_f0_5": "f0_5"}
 
@@ -70,35 +72,79 @@ def business_cost(tp: float, tn: float, fp: float, fn: float) -> Column:
     return F.col("tp") * tp + F.col("tn") * tn + F.col("fp") * fp + F.col("fn") * fn
 
 
-def by_score(scores: DataFrame, y: str, p: str) -> DataFrame:
-    return scores.groupBy(F.col(p).alias("p")).agg(F.sum(y).alias("pos"), (F.count("*") - F.sum(y)).alias("neg"))
+def by_score(scores: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
+    return scores.groupBy(*(by or []), F.col(p).alias("p")).agg(F.sum(y).alias("pos"), (F.count("*") - F.sum(y)).alias("neg"))
 
 
 def roc_points(scores: DataFrame, y: str, p: str) -> DataFrame:
-    """threshold, tpr, fpr, precision at each distinct score, from the highest."""
-    down, everyone = Window.orderBy(F.desc("p")), Window.partitionBy()
-    d = by_score(scores, y, p).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "np": F.sum("pos").over(everyone), "nn": F.sum("neg").over(everyone)})
-    return d.select(F.col("p").alias("threshold"), "pos", "neg", "np", "nn", ratio(F.col("tp"), F.col("np")).alias("tpr"), ratio(F.col("fp"), F.col("nn")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    """threshold, tpr, fpr, precision at each distinct score, and what they were one score higher (0, 0, 1 at the highest)."""
+    d = prefixed(by_score(scores, y, p), "p", ["pos", "neg"])
+    tp, fp, np, nn = F.col("all_pos") - F.col("below_pos"), F.col("all_neg") - F.col("below_neg"), F.col("all_pos"), F.col("all_neg")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    first = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(ratio(tp0, tp0 + fp0))
+    return d.select(F.col("p").alias("threshold"), "pos", "neg", np.alias("np"), nn.alias("nn"), ratio(tp, np).alias("tpr"), ratio(fp, nn).alias("fpr"), ratio(tp, tp + fp).alias("precision"), ratio(tp0, np).alias("tpr_before"), first.alias("precision_before"))
 
 
-def roc_auc(scores: DataFrame, y: str, p: str) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties half."""
-    up = Window.orderBy("p")
-    d = by_score(scores, y, p).withColumn("below", F.sum("neg").over(up) - F.col("neg"))
-    return d.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+def roc_auc(scores: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
+    """Share of (positive, negative) pairs in the right order, ties half; NULL with one class only."""
+    d = prefixed(by_score(scores, y, p, by), "p", ["neg"], by)
+    return d.groupBy(*(by or [])).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame, y: str, p: str) -> DataFrame:
     d = roc_points(scores, y, p)
-    return d.agg(F.sum(F.col("pos") / F.col("np") * F.col("precision")).alias("average_precision"))
+    return d.agg(F.sum(ratio(F.col("pos"), F.col("np")) * F.col("precision")).alias("average_precision"))
 
 
 def pr_area(scores: DataFrame, y: str, p: str) -> DataFrame:
     """Trapezoid area under the precision-recall curve, from recall 0 at precision 1."""
     d = roc_points(scores, y, p)
-    down = Window.orderBy(F.desc("threshold"))
-    d = d.withColumns({"r0": F.coalesce(F.lag("tpr").over(down), F.lit(0.0)), "p0": F.coalesce(F.lag("precision").over(down), F.lit(1.0))})
-    return d.agg(F.sum((F.col("tpr") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("pr_area"))
+    return d.agg(F.sum((F.col("tpr") - F.col("tpr_before")) * (F.col("precision") + F.col("precision_before")) / 2).alias("pr_area"))
+
+
+def pr_curve(scores: DataFrame, y: str, p: str) -> DataFrame:
+    """threshold, recall, precision and ``baseline``, the precision of a guess (the share of positives)."""
+    return roc_points(scores, y, p).select("threshold", F.col("tpr").alias("recall"), "precision", ratio(F.col("np"), F.col("np") + F.col("nn")).alias("baseline"))
+
+
+def one_vs_rest(scores: DataFrame, y: str, columns: dict[str, str]) -> DataFrame:
+    """label, roc_auc and support of each class (by its own column of scores), then rows 'macro avg' and 'weighted avg'."""
+    cases = F.array(*[F.struct(F.lit(c).alias("label"), F.col(p).alias("p"), (F.col(y) == c).cast("int").alias("is")) for c, p in columns.items()])
+    long = scores.select(F.explode(cases).alias("c")).select("c.*")
+    auc = roc_auc(long, "is", "p", ["label"]).join(long.groupBy("label").agg(F.sum("is").alias("support")), "label")
+    mean = auc.agg(F.avg("roc_auc").alias("roc_auc"), F.sum("support").alias("support")).select(F.lit("macro avg").alias("label"), "roc_auc", "support")
+    weighted = auc.agg((F.sum(F.col("roc_auc") * F.col("support")) / F.sum("support")).alias("roc_auc"), F.sum("support").alias("support")).select(F.lit("weighted avg").alias("label"), "roc_auc", "support")
+    return auc.select("label", "roc_auc", "support").unionByName(mean).unionByName(weighted)
+
+
+def nearest_threshold(points: DataFrame, t: float) -> DataFrame:
+    """The row whose threshold is nearest to t, of equals the lower."""
+    return points.orderBy(F.abs(F.col("threshold") - t), "threshold").limit(1)
+
+
+def voting_optimum(swept: DataFrame, metric: str, conservative: bool = False) -> DataFrame:
+    """The threshold of the best recall, precision or f1: of equals the first if ``conservative``, else the last."""
+    if metric not in ("recall", "precision", "f1"):
+        raise ValueError(f"metric {metric!r} is not supported")
+    return optimum(swept, metric, last=not conservative)
+
+
+def harmonic() -> Column:
+    """F1 recomputed from precision and recall, 0 where both are."""
+    return ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+
+
+def model_grid(scores: DataFrame, y: str, models: list[str], at: int, by: str) -> DataFrame:
+    """For each model (a column of scores) and ``by``: its confusion and accuracy, in one pass over the rows."""
+    cases = F.array(*[F.struct(F.lit(m).alias("model"), (F.col(m) >= at).cast("int").alias("_h")) for m in models])
+    c = confusion(scores.select(by, y, F.explode(cases).alias("c")).select(by, y, "c.*"), y, "_h", ["model", by])
+    return c.withColumn("accuracy", ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
+
+
+def overfit_gap(aucs: DataFrame) -> DataFrame:
+    """``train`` and ``val`` areas with their gap: over 0.05 overfit, under 0.01 balanced, else moderate."""
+    gap = F.col("train") - F.col("val")
+    return aucs.withColumn("gap", gap).withColumn("verdict", F.when(gap > 0.05, "overfit").when(gap < 0.01, "balanced").otherwise("moderate"))
 
 
 def youden(scores: DataFrame, y: str, p: str) -> DataFrame:
@@ -118,7 +164,7 @@ def voting(scores: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def class_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """Precision, recall, f1, support of each class, with macro and weighted averages; label is a string."""
+    """Precision, recall, f1, support of each class, with accuracy (in the column f1), macro and weighted averages; label is a string."""
     cells = df.groupBy(F.col(y).alias("t"), F.col(yhat).alias("h")).agg(F.count("*").alias("n"))
     actual = cells.groupBy(F.col("t").alias("c")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("t") == F.col("h"), F.col("n")).otherwise(0)).alias("hit"))
     said = cells.groupBy(F.col("h").alias("c")).agg(F.sum("n").alias("said"))
@@ -128,4 +174,6 @@ def class_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
     names = ("precision", "recall", "f1")
     macro = each.agg(F.lit("macro avg").alias("label"), *[F.avg(c).alias(c) for c in names], F.sum("support").alias("support"))
     weighted = each.agg(F.lit("weighted avg").alias("label"), *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in names], F.sum("support").alias("support"))
-    return each.unionByName(macro).unionByName(weighted)
+    right = each.withColumn("hit", F.col("recall") * F.col("support"))
+    accuracy = right.agg(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"), (F.sum("hit") / F.sum("support")).alias("f1"), F.sum("support").alias("support"))
+    return each.unionByName(accuracy).unionByName(macro).unionByName(weighted)

@@ -6,42 +6,59 @@ sorted in one task: md5's first digits are the salt, and order by salt then md5
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to this many classes their counts by salt (256 rows each) are broadcast.
+SMALL = 1024
+
+
 def order(keys: list[str], seed: str = "42") -> Column:
     return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(seed)))
 
 
-def ranked(df: DataFrame, keys: list[str], by: list[str] | None = None, seed: str = "42") -> DataFrame:
-    """With ``rank`` (from 1) in md5 order within ``by``, and ``size``, the rows of it."""
+def ranked(df: DataFrame, keys: list[str], by: list[str] | None = None, seed: str = "42", upto: int | None = None, small: bool = False) -> DataFrame:
+    """With ``rank`` (from 1) in md5 order within ``by``, and ``size``, the rows of it.
+
+    With ``upto``, only rows of salts that hold a rank up to it (all of these, and some more): others never reach the sort.
+    ``small``: the caller has checked that the counts (256 for each ``by``) may be broadcast.
+    """
     by = by or []
     df = df.withColumn("_md5", order(keys, seed)).withColumn("_salt", F.substring("_md5", 1, 2))
     counts = df.groupBy(*by, "_salt").agg(F.count("*").alias("_n"))  # 256 rows a class
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_salt")) - F.col("_n")).withColumn("size", F.sum("_n").over(Window.partitionBy(*by))).drop("_n")
     keyed = before.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*by, "_salt"])], "_before", "size")
+    if upto is not None:
+        keyed = keyed.where(F.col("_before") < upto)
     same = F.lit(True)
     for i, c in enumerate([*by, "_salt"]):
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
-    near = df.join(F.broadcast(keyed) if not by else keyed, same)  # without classes, 256 rows
+    near = df.join(F.broadcast(keyed) if small or not by else keyed, same)  # without classes, 256 rows
     place = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy("_md5", *keys))
     return near.withColumn("rank", F.col("_before") + place).drop("_md5", "_salt", "_before", *[f"_of_{i}" for i in range(len(by) + 1)])
 
 
+def _classes(df: DataFrame, y: str) -> tuple:
+    """Number of classes, rows of the smallest, and which that is."""
+    counts = df.groupBy(y).agg(F.count("*").alias("_n"))
+    return tuple(counts.agg(F.count("*"), F.coalesce(F.min("_n"), F.lit(0)), F.min_by(y, "_n")).first())
+
+
 def balanced(df: DataFrame, keys: list[str], y: str, n: int, seed: str = "42") -> DataFrame:
     """n rows of each class; ValueError if one has fewer. n <= 0: all rows."""
     if n <= 0:
         return df
-    few = df.groupBy(y).count().where(F.col("count") < n).limit(1).collect()
-    if few:
-        raise ValueError(f"class {few[0][0]} has {few[0][1]} rows, fewer than {n}")
-    return ranked(df, keys, [y], seed).where(F.col("rank") <= n).drop("rank", "size")
+    classes, least, which = _classes(df, y)
+    if classes and least < n:
+        raise ValueError(f"class {which} has {least} rows, fewer than {n}")
+    return ranked(df, keys, [y], seed, n, classes <= SMALL).where(F.col("rank") <= n).drop("rank", "size")
 
 
-def quotas(df: DataFrame, y: str, fraction: float) -> DataFrame:
-    """(class, quota): ceil(fraction * rows) split by largest remainder, ties to the smaller class."""
-    sizes = df.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("n"))
+def shares(sizes: DataFrame, fraction: float) -> DataFrame:
+    """(class, quota) of (_y, n): ceil(fraction * rows) split by largest remainder, ties to the smaller class."""
     everyone = Window.partitionBy()
     ideal = sizes.withColumn("total", F.ceil(F.round(F.sum("n").over(everyone) * F.lit(fraction), 9))).withColumn("ideal", F.col("n") * F.col("total") / F.sum("n").over(everyone))
     ideal = ideal.withColumn("base", F.floor("ideal")).withColumn("left", F.col("total") - F.sum("base").over(everyone))
@@ -49,6 +66,32 @@ def quotas(df: DataFrame, y: str, fraction: float) -> DataFrame:
     return ideal.select("_y", (F.col("base") + (place <= F.col("left")).cast("long")).alias("quota"))
 
 
+def quotas(df: DataFrame, y: str, fraction: float) -> DataFrame:
+    return shares(df.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("n")), fraction)
+
+
+def three_way(df: DataFrame, keys: list[str], y: str, test: float = 0.2, val: float = 0.2, seed: str = "42") -> DataFrame:
+    """With ``part``: 'test' is a stratified share of all rows, 'val' one of the rest, 'train' what is left. Rows are ranked once."""
+    sizes = df.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("n"))
+    first = shares(sizes, test)
+    taken = first.select(F.col("_y").alias("_z"), "quota")
+    rest = sizes.join(taken, F.col("_y").eqNullSafe(F.col("_z"))).select("_y", (F.col("n") - F.col("quota")).alias("n"))
+    second = shares(rest, val).select("_y", F.col("quota").alias("_more"))
+    both = second.join(taken, F.col("_y").eqNullSafe(F.col("_z"))).drop("_z")
+    r = ranked(df, keys, [y], seed).join(F.broadcast(both), F.col(y).eqNullSafe(F.col("_y")))  # a row for each class
+    part = F.when(F.col("rank") <= F.col("quota"), "test").when(F.col("rank") <= F.col("quota") + F.col("_more"), "val").otherwise("train")
+    return r.withColumn("part", part).select(*df.columns, "part")
+
+
+def holdout(df: DataFrame, keys: list[str], y: str, fraction: float | None = None, seed: str = "42") -> DataFrame:
+    """With ``picked``, the rows held out when a model is finalised: a stratified ``fraction``, by default about 100 rows but at
+    most a tenth, and none of 100 rows or fewer."""
+    if fraction is None:
+        n = df.count()
+        fraction = min(0.1, 100 / n) if n > 100 else 0.0
+    return stratified(df, keys, y, fraction, seed)
+
+
 def stratified(df: DataFrame, keys: list[str], y: str, fraction: float, seed: str = "42") -> DataFrame:
     """All rows with ``picked``: whether they are in the stratified sample (the others are its complement)."""
     q = quotas(df, y, fraction)
@@ -68,8 +111,21 @@ def uniform(df: DataFrame, keys: list[str], n: int, seed: str = "42") -> DataFra
     return df.orderBy(order(keys, seed), *keys).limit(n)
 
 
-def with_replacement(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def with_replacement(df: DataFrame, keys: list[str], fraction: float, seed: str = "42") -> DataFrame:
+    """Each row as many times as a Poisson count of mean ``fraction`` (at most 1) says; the count comes from the row's md5, so reruns agree.
+
+    ``copy`` numbers a row's repetitions from 1. Counts over 16 (a chance below 1e-14) are cut.
+    """
+    if not 0 < fraction <= 1:
+        raise ValueError("fraction must be over 0 and at most 1")
+    steps, term, total = [], math.exp(-fraction), 0.0
+    for k in range(1, 17):
+        total += term
+        steps.append(total)
+        term *= fraction / k
+    u = F.conv(F.substring(order(keys, seed), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    times = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
+    return df.withColumn("copy", times).where("copy > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copy"))))
 
 
 def kfold(df: DataFrame, keys: list[str], y: str, k: int = 5, seed: str = "42") -> DataFrame:
@@ -79,6 +135,16 @@ def kfold(df: DataFrame, keys: list[str], y: str, k: int = 5, seed: str = "42")
 
 def balanced_subsets(df: DataFrame, keys: list[str], y: str, subsets: int = 10, per_class: int = 25_000) -> DataFrame:
     """``subsets`` independent draws, each with the same number of rows (per_class at most) of each class."""
-    least = df.groupBy(y).count().agg(F.min("count")).first()[0] or 0
+    classes, least, _ = _classes(df, y)
+    n = min(least, per_class)
     many = df.withColumn("subset", F.explode(F.sequence(F.lit(1), F.lit(subsets))))
-    return ranked(many, [*keys, "subset"], ["subset", y]).where(F.col("rank") <= min(least, per_class)).drop("rank", "size")
+    return ranked(many, [*keys, "subset"], ["subset", y], upto=n, small=classes * subsets <= SMALL).where(F.col("rank") <= n).drop("rank", "size")
+
+
+def identical_subsets(df: DataFrame, keys: list[str], subset: str = "subset") -> DataFrame:
+    """(a, b, same) for each two subsets, a < b: whether they hold the same rows, by count and the sums of two hashes of the keys."""
+    h = F.xxhash64(*keys)
+    digest = F.struct(F.count("*").alias("n"), F.sum(F.shiftright(h, 32)).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("z"), F.bit_xor(h).alias("w"))
+    each = df.groupBy(subset).agg(digest.alias("d"))  # a row for each subset
+    a, b = each.select(F.col(subset).alias("a"), F.col("d").alias("da")), each.select(F.col(subset).alias("b"), F.col("d").alias("db"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", (F.col("da") == F.col("db")).alias("same"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def proportions(df: DataFrame, y: str) -> DataFrame:
@@ -17,19 +18,75 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when((sx == 0) | (sy == 0), None).otherwise(F.try_divide(F.covar_pop(x, y), sx * sy))
 
 
+def edges(df: DataFrame, x: str, ranges: int = 256) -> DataFrame:
+    """One row ``edges``: at most ``ranges`` - 1 ascending cuts of x with about as many rows between any two."""
+    cuts = F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges))
+    return df.agg(F.array_distinct(F.coalesce(cuts, F.array().cast(f"array<{df.schema[x].dataType.simpleString()}>"))).alias("_edges"))
+
+
+def _range_of(x: str, cuts: str) -> Column:
+    return F.size(F.filter(cuts, lambda e: e < F.col(x)))
+
+
+def prefixed(counted: DataFrame, x: str, sums: list[str], by: list[str] | None = None, ranges: int = 256) -> DataFrame:
+    """``counted`` (a row for each x within ``by``, no null or NaN x) with ``below_c`` and ``all_c`` of each c in ``sums``: c
+    summed over the smaller x, and over all x, within ``by``.
+
+    Sums run inside ranges of x and are moved on by the totals of the ranges below (``ranges`` rows for each ``by``), so no
+    task holds all values.
+    """
+    by = by or []
+    ranged = counted.join(F.broadcast(edges(counted, x, ranges))).withColumn("_part", _range_of(x, "_edges")).drop("_edges")  # one row
+    totals = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(c) for c in sums])
+    before, everyone = Window.partitionBy(*by).orderBy("_part"), Window.partitionBy(*by)
+    keys = [*by, "_part"]
+    moved = totals.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(keys)], *[(F.sum(c).over(before) - F.col(c)).alias(f"_before_{c}") for c in sums], *[F.sum(c).over(everyone).alias(f"all_{c}") for c in sums])
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
+    near = ranged.join(moved if by else F.broadcast(moved), same)  # ``ranges`` rows
+    inside = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    below = [(F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"below_{c}") for c in sums]
+    return near.select(*counted.columns, *below, *[f"all_{c}" for c in sums])
+
+
+def quantiles(df: DataFrame, x: str, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """``by`` and a column for each name of ``probs``: the exact quantile of x (null and NaN left out), linear between neighbours.
+
+    Values are counted first; only the two values around each rank are looked at. Without any value a quantile is NULL
+    (no row at all with ``by``).
+    """
+    by = by or []
+    valid = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+    counted = valid.groupBy(*by, x).agg(F.count("*").alias("_c"))
+    placed = prefixed(counted, x, ["_c"], by)
+    out = []
+    for name, q in probs.items():
+        k = (F.col("all__c") - 1) * F.lit(float(q))
+        at = lambda r: F.max(F.when((F.col("below__c") <= r) & (r < F.col("below__c") + F.col("_c")), F.col(x).cast("double")))
+        low, high = at(F.floor(k)), at(F.ceil(k))
+        out.append((low + (high - low) * F.max(k - F.floor(k))).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
 def ecdf(df: DataFrame, x: str, keys: list[str], ranges: int = 64) -> DataFrame:
     """Each row's step i / n in ascending order of x; equal values get steps of their own, in order of the keys.
 
-    Ranks are taken within ranges of x and moved on by the counts of the ranges below, so no task sorts all rows.
+    Ranks are taken within ranges of x with about as many rows each and moved on by the counts of the ranges below, so no
+    task sorts all rows. Rows at a cut itself (where a very common value lies) are dealt further by ranges of the first
+    key, if it is a number.
     """
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
-    width = (hi - lo) / ranges if lo is not None and hi > lo else 1.0
-    part = F.least(F.floor((F.col(x) - F.lit(lo or 0.0)) / F.lit(width)), F.lit(ranges - 1)).cast("int")
-    rows = df.withColumn("_part", part)
-    counts = rows.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
-    before = counts.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(x, *keys))
-    return rows.join(F.broadcast(before), F.col("_part") == F.col("_of")).withColumn("cdf", (F.col("_before") + place) / F.col("_all")).drop("_part", "_of", "_before", "_all")  # ``ranges`` rows
+    rows = df.join(F.broadcast(edges(df, x, ranges))).withColumn("_part", _range_of(x, "_edges"))  # one row
+    at_cut = F.lit(0)
+    if isinstance(df.schema[keys[0]].dataType, NumericType):
+        rows = rows.join(F.broadcast(edges(df, keys[0], ranges).withColumnRenamed("_edges", "_cuts")))  # one row
+        at_cut = F.when(F.array_contains("_edges", F.col(x)), 1 + _range_of(keys[0], "_cuts")).otherwise(0)
+    rows = rows.withColumn("_sub", at_cut).select(*df.columns, "_part", "_sub")
+    counts = rows.groupBy(F.col("_part").alias("_of"), F.col("_sub").alias("_at")).agg(F.count("*").alias("_n"))  # ranges * ranges rows at most
+    before = counts.select("_of", "_at", (F.sum("_n").over(Window.orderBy("_of", "_at")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_part", "_sub").orderBy(x, *keys))
+    near = rows.join(F.broadcast(before), (F.col("_part") == F.col("_of")) & (F.col("_sub") == F.col("_at")))
+    return near.withColumn("cdf", (F.col("_before") + place) / F.col("_all")).select(*df.columns, "cdf")
 
 
 def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
@@ -46,13 +103,20 @@ def terciles(x: Column, low: Column, high: Column) -> Column:
     return F.when(x <= low, "green").when(x <= high, "orange").otherwise("red")
 
 
+def scale_fit(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: mean and population standard deviation of each column, in one pass."""
+    return df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
+
+
+def scaled(df: DataFrame, fit: DataFrame, cols: list[str]) -> DataFrame:
+    """(x - mean) / deviation by the row of ``scale_fit``; a constant's deviation counts as 1."""
+    near = df.join(F.broadcast(fit))  # one row
+    unit = lambda c: F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))
+    return near.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / unit(c) for c in cols}).select(*df.columns)
+
+
 def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(x - mean) / population standard deviation, 1 for a constant; one pass for all columns, then a one-row join."""
-    fit = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    out = df.join(F.broadcast(fit))  # one row
-    for c in cols:
-        out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")))
-    return out.select(*df.columns)
+    return scaled(df, scale_fit(df, cols), cols)
 
 
 def minmax_scale(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -65,11 +129,15 @@ def minmax_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, c: str, to: str) -> DataFrame:
-    """Numbers from 0 in order of the values as strings; the distinct values are numbered, then joined."""
-    codes = df.select(F.col(c).cast("string").alias("_v")).distinct().withColumn(to, F.row_number().over(Window.orderBy("_v")) - 1)
+    """Numbers from 0 in order of the values as strings; the distinct values are numbered within their first three characters, then joined."""
+    values = df.select(F.col(c).cast("string").alias("_v")).distinct().withColumn("_head", F.substring("_v", 1, 3))
+    heads = values.groupBy(F.col("_head").alias("_of")).agg(F.count("*").alias("_n"))
+    before = heads.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_head").orderBy("_v"))
+    codes = values.join(before, F.col("_head").eqNullSafe(F.col("_of"))).select("_v", (F.col("_before") + place - 1).cast("int").alias(to))
     return df.join(codes, F.col(c).cast("string").eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def median_impute(df: DataFrame, c: str) -> DataFrame:
-    m = df.agg(F.percentile(F.when(~F.isnan(c), F.col(c)), 0.5).alias("_median"))
+    m = quantiles(df, c, {"_median": 0.5})
     return df.join(F.broadcast(m)).withColumn(c, F.coalesce(F.when(~F.isnan(c), F.col(c)), "_median")).drop("_median")  # one row

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -258,7 +259,7 @@ def q_corr_by_surface(spark, d):
 @query(f"WITH {_OBS}, p AS (SELECT quantile_cont(distance, 0.95) AS p FROM obs) SELECT {_KEY}, {_r('least(greatest(distance, 0), p)', 'd')} FROM obs, p")
 def q_percentile_clip(spark, d):
     o = tables.observations(spark, d)
-    p = o.agg(F.percentile("distance", 0.95).alias("p"))
+    p = stats.quantiles(o, "distance", {"p": 0.95})
     return o.join(F.broadcast(p)).select(*KEY, six(F.least(F.greatest("distance", F.lit(0.0)), "p"), "d"))  # one row
 
 
@@ -271,8 +272,8 @@ def q_cdf(spark, d):
 @query(f"WITH {_OBS}, p AS (SELECT quantile_cont(distance, 0.33) AS a, quantile_cont(distance, 0.66) AS b FROM obs) SELECT CASE WHEN distance <= a THEN 'green' WHEN distance <= b THEN 'orange' ELSE 'red' END AS colour, count(*) AS n FROM obs, p GROUP BY 1")
 def q_tercile(spark, d):
     o = tables.observations(spark, d)
-    p = o.agg(F.percentile("distance", F.array(F.lit(0.33), F.lit(0.66))).alias("p"))
-    return o.join(F.broadcast(p)).groupBy(stats.terciles(F.col("distance"), F.col("p")[0], F.col("p")[1]).alias("colour")).agg(F.count("*").alias("n"))  # one row
+    p = stats.quantiles(o, "distance", {"low": 0.33, "high": 0.66})
+    return o.join(F.broadcast(p)).groupBy(stats.terciles(F.col("distance"), F.col("low"), F.col("high")).alias("colour")).agg(F.count("*").alias("n"))  # one row
 
 
 @query(f"WITH {_SERIES} SELECT channel, count(*) AS n, count(*) - count(v) AS n_nan, {_r('(count(*) - count(v)) * 100.0 / count(*)', 'pct')}, {_r('min(v)', 'lo')}, {_r('max(v)', 'hi')}, {_r('avg(v)', 'mean')}, count(*) FILTER (WHERE v > 0) AS n_pos, count(*) FILTER (WHERE v <= 0) AS n_not FROM e GROUP BY 1")
@@ -314,8 +315,8 @@ def q_histogram(spark, d):
 
 @query(f"WITH {_SCORES} SELECT y, {_r('quantile_cont(p, 0.25)', 'q1')}, {_r('quantile_cont(p, 0.5)', 'q2')}, {_r('quantile_cont(p, 0.75)', 'q3')}, {_r('quantile_cont(p, 0.25) - 1.5 * (quantile_cont(p, 0.75) - quantile_cont(p, 0.25))', 'low')}, {_r('quantile_cont(p, 0.75) + 1.5 * (quantile_cont(p, 0.75) - quantile_cont(p, 0.25))', 'high')} FROM s GROUP BY 1")
 def q_boxplot(spark, d):
-    g = tables.scores(spark, d).groupBy("y").agg(F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q1, q2, q3 = (F.col("q")[i] for i in range(3))
+    g = stats.quantiles(tables.scores(spark, d), "p", {"a": 0.25, "b": 0.5, "c": 0.75}, ["y"])
+    q1, q2, q3 = F.col("a"), F.col("b"), F.col("c")
     return g.select("y", six(q1, "q1"), six(q2, "q2"), six(q3, "q3"), six(q1 - 1.5 * (q3 - q1), "low"), six(q3 + 1.5 * (q3 - q1), "high"))
 
 
@@ -377,14 +378,23 @@ def q_kfold(spark, d):
 _MS = _M.replace("'42'", "subset::varchar, '42'")
 
 
-@query(f"WITH {_T}, u AS (SELECT t.*, s.subset FROM t, (SELECT unnest(range(1, 11))::int AS subset) s), r AS (SELECT *, row_number() OVER (PARTITION BY subset, y ORDER BY {_MS}, {_ID}) AS k FROM u) SELECT subset, y, count(*) AS n, sum(cents)::bigint AS cents FROM r WHERE k <= 2000 GROUP BY 1, 2")
+@query(f"WITH {_T}, u AS (SELECT t.*, s.subset FROM t, (SELECT unnest(range(1, 11))::int AS subset) s), r AS (SELECT *, row_number() OVER (PARTITION BY subset, y ORDER BY {_MS}, {_ID}) AS k FROM u) SELECT subset, y, count(*) AS n, sum(cents)::bigint AS cents FROM r WHERE k <= least(25000, (SELECT min(c) FROM (SELECT count(*) AS c FROM t GROUP BY y))) GROUP BY 1, 2")
 def q_balanced_subsets(spark, d):
-    return sampling.balanced_subsets(_samples(spark, d), _IDS, "y", 10, 2000).groupBy("subset", "y").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    return sampling.balanced_subsets(_samples(spark, d), _IDS, "y").groupBy("subset", "y").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
-@query()
+def _poisson(mean: float) -> str:
+    steps, term, total = [], math.exp(-mean), 0.0
+    for k in range(1, 17):
+        total += term
+        steps.append(total)
+        term *= mean / k
+    return " + ".join(f"(u >= {s!r}::double)::int" for s in steps)
+
+
+@query(f"WITH {_T}, m AS (SELECT *, ('0x' || substr({_M}, 1, 12))::bigint::double / {float(1 << 48)}::double AS u FROM t), n AS (SELECT *, {_poisson(0.5)} AS n FROM m) SELECT {_ID}, y, unnest(range(1, n + 1))::int AS copy FROM n")
 def q_sample_with_replacement(spark, d):
-    return sampling.with_replacement(_samples(spark, d), 0.5)
+    return sampling.with_replacement(_samples(spark, d), _IDS, 0.5)
 
 
 # ---- scaling, encoding, joins, sets ---------------------------------------------------------------------------------------
@@ -590,7 +600,7 @@ def q_voting(spark, d):
 def _report_sql() -> str:
     each = f"e AS (SELECT c::varchar AS label, {_div('hit', 'said')} AS precision, {_div('hit', 'support')} AS recall, {_div('2*hit', 'said+support')} AS f1, support FROM (SELECT c, count(*) FILTER (WHERE y=c) AS support, count(*) FILTER (WHERE h=c) AS said, count(*) FILTER (WHERE y=c AND h=c) AS hit FROM a, (SELECT unnest([0,1]) AS c) GROUP BY 1))"
     cols = "precision", "recall", "f1"
-    rows = [f"SELECT label, {', '.join(_r(c, c) for c in cols)}, support::bigint AS support FROM e", f"SELECT 'macro avg', {', '.join(_r(f'avg({c})', c) for c in cols)}, sum(support)::bigint FROM e", f"SELECT 'weighted avg', {', '.join(_r(f'sum({c}*support)/sum(support)', c) for c in cols)}, sum(support)::bigint FROM e"]
+    rows = [f"SELECT label, {', '.join(_r(c, c) for c in cols)}, support::bigint AS support FROM e", f"SELECT 'accuracy', NULL, NULL, {_r('sum(recall*support)/sum(support)', 'f1')}, sum(support)::bigint FROM e", f"SELECT 'macro avg', {', '.join(_r(f'avg({c})', c) for c in cols)}, sum(support)::bigint FROM e", f"SELECT 'weighted avg', {', '.join(_r(f'sum({c}*support)/sum(support)', c) for c in cols)}, sum(support)::bigint FROM e"]
     return f"WITH {_SCORES}, {_AT}, {each} " + " UNION ALL ".join(rows)
 
 
@@ -667,7 +677,7 @@ def q_gbt(spark, d):
 def q_cv_search(spark, d):
     t = learning.assembled(sampling.kfold(_training(spark, d), ["vec_id"], "y", 3), _FIT).cache()
     est = learning.forest()
-    tried = learning.random_params(est, {"numTrees": ("int", 5, 20), "maxDepth": ("int", 2, 6), "subsamplingRate": ("uniform", 0.5, 1.0)}, 3)
+    tried = learning.random_params(est, {"numTrees": ("int", 5, 20), "maxDepth": ("int", 2, 6), "subsamplingRate": ("uniform", 0.5, 0.5)}, 3)
     best = learning.search(t, est, tried)
     rows = [(i, float(a), {p.name: float(v) for p, v in c.items()}) for i, (a, c) in enumerate(zip(best.avgMetrics, tried, strict=True))]
     return spark.createDataFrame(rows, "candidate int, auc double, params map<string, double>")

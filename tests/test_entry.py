@@ -17,9 +17,9 @@ def test_registry_without_the_llm_subpackage(monkeypatch):
     sys.modules.pop("__spark_entry__", None)
 
 
-@pytest.mark.parametrize("name", ["q_quality_filtered", "q_features_regions", "q_threshold_sweep", "q_stratified_sample", "q_roc_auc", "q_fill_and_filter", "q_class_report", "q_hypotenuse", "q_finite_mask", "q_feature_table"])
+@pytest.mark.parametrize("name", ["q_quality_filtered", "q_features_regions", "q_threshold_sweep", "q_stratified_sample", "q_roc_auc", "q_fill_and_filter", "q_class_report", "q_hypotenuse", "q_finite_mask", "q_feature_table", "q_fill_maps", "q_map_channels", "q_train_val_test", "q_overfit_gap", "q_one_vs_rest", "q_voting_optimum", "q_sample_with_replacement", "q_boxplot"])
 def test_query_equals_its_sql(spark, name):
-    from glint.plans import queries
+    from glint.plans import map_queries, model_queries, queries  # noqa: F401
 
     con = duckdb.connect()
     for t in TABLES.split():
