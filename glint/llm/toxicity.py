@@ -1,7 +1,7 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
-Labels say toxic or not; grades come from the training rows themselves: 0 for those that aren't toxic, and 1 to 3 by
-how much of the text the words take that go with the toxic label. One weight vector is shared by all thresholds:
+Labels say toxic or not; a grade is 0 for rows that aren't toxic, and 1 to 3 by how much of the text the words take that go
+with the toxic label in the other half of the training rows: a text's own label and words have no part in its grade. One weight vector is shared by all thresholds:
 P(grade > k) = sigmoid(w . x - theta_k) with theta_1 <= theta_2 <= theta_3. The result is the expected grade.
 
 Features are the rates of words and of words' first five bytes, known by a 64-bit hash, that the training labels speak for
@@ -134,23 +134,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severit
     vocabulary, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
     row = np.repeat(np.arange(len(held)), [len(w) for w, _ in held])
     around = np.concatenate([np.frombuffer(r.around, "<u8") for r in sample])
-    n1, n0 = (_contexts(at[own], around[own], len(vocabulary)) for own in (y[row], ~y[row]))
-    n, base = n1 + n0, n1.sum() / (n1.sum() + n0.sum())
-    share = np.clip(n1 / np.maximum(n, 1), 1e-9, 1 - 1e-9)
-    # Chernoff's bound on the chance that a word meets the label so often; one in CHANCE of all words may by accident
-    bits = np.where(share > base, n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))), 0.0)
-    pick = np.argsort(-bits, kind="stable")[:MAX_FEATURES]
-    pick = np.sort(pick[bits[pick] >= np.log(len(vocabulary) * CHANCE)])
+    pick = _telling(at, around, y[row], len(vocabulary))
     if not len(pick):
         return none
-    place = np.full(len(vocabulary), -1)
-    place[pick] = np.arange(len(pick))
     n = np.concatenate([c for _, c in held]).astype(float)
-    counts = np.zeros((len(held), len(pick)))
-    known = place[at] >= 0
-    np.add.at(counts, (row[known], place[at[known]]), n[known])
+    counts = _counted(at, row, n, pick, len(held), len(vocabulary))
     words = np.bincount(row, weights=n, minlength=len(held)) / 2  # each word is there twice, whole and by its beginning
-    density = counts.sum(1) / np.maximum(1, words)
+    half = np.array([r.doc_id for r in sample]).astype(np.uint64)
+    half = mix(half) >> np.uint64(63) == 1
+    density = np.zeros(len(held))
+    for side in (False, True):  # the words are chosen on one half, the other half is graded by them
+        other = half[row] != side
+        told = _telling(at[other], around[other], y[row][other], len(vocabulary))
+        own = _counted(at, row, n, told, len(held), len(vocabulary)).sum(1)
+        density[half == side] = (own / np.maximum(1, words))[half == side]
     edges = np.quantile(density[y & (density > 0)], [1 / 3, 2 / 3]) if (y & (density > 0)).any() else np.zeros(2)
     grade = np.where(y, 1 + (density > edges[0]).astype(int) + (density > edges[1]), 0)
     x = _values(counts, words)
@@ -159,6 +156,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severit
     return Severity(vocabulary[pick], weights, theta, _edge(over, y))
 
 
+def _telling(at: np.ndarray, around: np.ndarray, toxic: np.ndarray, n: int) -> np.ndarray:
+    """Of n words those (MAX_FEATURES at most, ascending) that go with the label beyond chance, from their places."""
+    n1, n0 = (_contexts(at[own], around[own], n) for own in (toxic, ~toxic))
+    if not n1.any() or not n0.any():
+        return np.zeros(0, int)
+    all_, base = n1 + n0, n1.sum() / (n1.sum() + n0.sum())
+    share = np.clip(n1 / np.maximum(all_, 1), 1e-9, 1 - 1e-9)
+    # Chernoff's bound on the chance that a word meets the label so often; one in CHANCE of all words may by accident
+    bits = np.where(share > base, all_ * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))), 0.0)
+    pick = np.argsort(-bits, kind="stable")[:MAX_FEATURES]
+    return np.sort(pick[bits[pick] >= np.log(n * CHANCE)])
+
+
+def _counted(at: np.ndarray, row: np.ndarray, n: np.ndarray, pick: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """How often each row has each picked word."""
+    place = np.full(words, -1)
+    place[pick] = np.arange(len(pick))
+    counts = np.zeros((rows, len(pick)))
+    known = place[at] >= 0
+    np.add.at(counts, (row[known], place[at[known]]), n[known])
+    return counts
+
+
 def _contexts(at: np.ndarray, around: np.ndarray, n: int) -> np.ndarray:
     """For each word, in how many different contexts it stands: a passage that many texts share is evidence once."""
     order = np.lexsort((around, at))
