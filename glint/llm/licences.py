@@ -145,7 +145,9 @@ def fit(docs: DataFrame) -> Model:
     share = min(1.0, 3.0 * NEGATIVES / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     plain = paragraphs(some).where(~F.arrays_overlap("w", F.array(*[F.lit(c) for c in cues])))
-    plain = plain.orderBy(F.xxhash64("w"), "w").limit(NEGATIVES).select(F.lit(UNKNOWN).alias("family"), F.pmod(F.xxhash64("w"), F.lit(LOST + 1)).cast("int").alias("v"), "w")
+    # those of small hashes only, about twice as many as are needed, so that what is sorted is no more in a large corpus
+    least = F.lit(-(1 << 63) + int((1 << 64) * min(1.0, 2.0 * NEGATIVES / max(1, plain.count()))) - 1)
+    plain = plain.where(F.xxhash64("w") <= least).orderBy(F.xxhash64("w"), "w").limit(NEGATIVES).select(F.lit(UNKNOWN).alias("family"), F.pmod(F.xxhash64("w"), F.lit(LOST + 1)).cast("int").alias("v"), "w")
     names = [UNKNOWN, *sorted(TEMPLATES)]
     label = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("family")).cast("double") - 1
     sparse = CountVectorizerModel.from_vocabulary([str(i) for i in range(DIMS)], "x", "features")
