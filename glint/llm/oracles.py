@@ -17,6 +17,8 @@ _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 def quality_rules(policy: str = "v2") -> str:
     base, own = Q.mask(Q.BASE), Q.mask(Q.POLICIES[policy])
+    passes = " + ".join(f"CASE WHEN (failed & {Q.mask(rules)}) = 0 THEN {1 << i} ELSE 0 END" for i, rules in enumerate(Q.POLICIES.values()))
+    only = "CASE failed & " + str(own) + " " + " ".join(f"WHEN {Q.mask([r])} THEN '{r}'" for r in Q.POLICIES[policy]) + " END"
     bits = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(Q.RULES.values()))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
@@ -29,7 +31,7 @@ m AS (SELECT d.doc_id, len(w)::bigint AS n_words, length(translate(t, {_WHITE},
  coalesce(n_lines - n_different, 0)::bigint AS n_dup_lines, coalesce(k.n, 0)::bigint AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, {_chars('t', _ALPHABET)} AS n_capitals, {_chars('t', '.,;:!?')} AS n_stops
  FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id),
 f AS (SELECT *, ({bits})::bigint AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {base}) <> 0 AS base_failed, (failed & {base | own}) = 0 AS kept, failed FROM f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {base}) <> 0 AS base_failed, (failed & {base | own}) = 0 AS kept, failed, ({passes})::bigint AS passes, {only} AS only_rule FROM f"""
 
 
 MIX = rf"""

@@ -94,6 +94,14 @@ def judged(docs: DataFrame, policy: str = "v2") -> DataFrame:
     return ledger(docs).withColumn("base_failed", base).withColumn("kept", ~base & kept(policy))
 
 
+def verdicts(entries: DataFrame, policy: str = "v2") -> DataFrame:
+    """With ``passes`` (bit i is set if the i-th policy keeps the text) and ``only_rule`` (the one rule without which ``policy`` would keep it, else NULL)."""
+    passes = sum((F.when(kept(p), F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(POLICIES)), F.lit(0))
+    under = F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long"))
+    only = F.coalesce(*[F.when(under == mask([r]), F.lit(r)) for r in POLICIES[policy]])
+    return entries.withColumn("passes", passes.cast("long")).withColumn("only_rule", only)
+
+
 def ablations(entries: DataFrame) -> DataFrame:
     """For each policy and rule: how many texts fail it, how many only it removes, and how many the policy keeps without it.
 
