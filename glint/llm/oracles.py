@@ -95,3 +95,20 @@ e AS (SELECT t, i, max_by(v, nth) AS folded FROM f GROUP BY 1, 2),
 q AS (SELECT t, i, {_H("string_agg(before || after, '' ORDER BY nr)")} AS proof FROM p GROUP BY 1, 2)
 SELECT doc_id, l.h AS leaf, u.h AS subroot, root, coalesce(proof, {_H("''")}) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM l JOIN u ON u.own = l.t JOIN e ON e.t = l.t AND e.i = l.i LEFT JOIN q ON q.t = l.t AND q.i = l.i, root"""
+
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::bigint] ELSE [195::bigint, unicode(c)::bigint - 64] END))"
+SPELLING = rf"""
+WITH RECURSIVE {_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_ALPHABET}', '{_ALPHABET.lower()}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+o AS (SELECT doc_id, w, count(*) AS c FROM r GROUP BY 1, 2),
+x AS (SELECT w, c, {_crc(_BYTES.format("coalesce(doc_id::varchar, '') || ':' || w"))} AS h FROM o, tab),
+e AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) ELSE w END AS word, c FROM x),
+v AS (SELECT word, sum(c)::bigint AS n FROM e WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+k AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+s AS (SELECT a.word AS a, b.word AS b FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+p AS (SELECT a, b FROM s UNION SELECT k.word, v.word FROM k JOIN v ON v.word = k.rest UNION SELECT v.word, k.word FROM k JOIN v ON v.word = k.rest),
+m AS (SELECT a, count(*) AS n_near, arg_min(b, row(-v.n, encode(b))) AS b, max(v.n) AS bn FROM p JOIN v ON v.word = p.b GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * v.n THEN b END AS form, CASE WHEN bn >= 2 * v.n THEN bn END AS form_n FROM v LEFT JOIN m ON m.a = v.word),
+g AS (SELECT word, word AS cur, 0 AS steps FROM f UNION ALL SELECT g.word, f.form, steps + 1 FROM g JOIN f ON f.word = g.cur WHERE f.form IS NOT NULL),
+z AS (SELECT word, max_by(cur, steps) AS root FROM g GROUP BY 1)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON z.word = f.word"""
