@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.llm import binary_output, language_id, licences, line_dedup, merkle, mixing, near_dups, neighbours, oracles, packing, quality_rules, scratch, spelling, toxicity
+from glint.llm import binary_output, labelled_pages, language_id, licences, line_dedup, main_text, merkle, mixing, near_dups, neighbours, oracles, packing, quality_rules, scratch, spelling, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(_table(spark, sf_dir, "documents"), merkle.without_newlines())
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"), main_text.fit(labelled_pages.sample(spark, 1200)))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_html_extraction": op12_html_extraction,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op4_mix_sources": oracles.MIX, "op8_near_dups": oracles.NEAR, "op11_merkle_manifest": oracles.merkle(), "op13_spelling_variants": oracles.SPELLING}
