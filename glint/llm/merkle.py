@@ -207,8 +207,9 @@ def verify(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     Subroots, root and siblings are those of the manifest of ``docs``; folded_root is what they make of the row with the
     text in ``tampered``, and verified whether that is the root.
     """
-    bare = leaves(docs, tampered)
+    bare = scratch.cut(leaves(docs, tampered), "leaves")  # the ranges are sampled from these, so texts are hashed once
     rows = _indexed(bare, "doc_id", "digest")
+    scratch.drop(bare)
     tiers = manifest(rows)
     ends = [t.withColumn("c", F.count("*").over(Window.partitionBy("tree"))).where("c = 1").select("tree", F.col("root").alias("digest")) for t in tiers]  # a tree's last tier is the one with one block
     subroots = ends[0]
