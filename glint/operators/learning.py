@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from functools import reduce
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -12,10 +13,12 @@ from pyspark.ml.feature import PCA, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReader
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glint.operators import metrics
 from glint.operators.stats import scale_fit, scaled, standard_scale
+from glint.sources import written
 
 
 def assembled(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -128,3 +131,61 @@ def finalise_saved(path: str, est: Estimator, full: DataFrame, cols: list[str],
     new = finalise(est, {getattr(est, k): v for k, v in params.items() if est.hasParam(k)}, data)
     both = importances(old, cols).withColumnRenamed("importance", "base").join(importances(new, cols).withColumnRenamed("importance", "final"), "feature")
     return new, both.withColumn("change", F.col("final") - F.col("base"))
+
+
+# ---- comparing and blending models -----------------------------------------------------------------------------------
+
+
+def out_of_fold(df: DataFrame, keys: list[str], models: dict[str, Estimator], fold: str = "fold") -> DataFrame:
+    """keys, y, fold, model and p1 of each row and model, said by the fit that didn't see the row's fold; written once for all readers."""
+    data = written.write(df, "folds")
+    parts = []
+    for k in range((data.agg(F.max(fold)).first()[0] or 0) + 1):
+        for name, est in models.items():
+            said = scored(est.fit(data.where(F.col(fold) != k)), data.where(F.col(fold) == k))
+            parts.append(said.select(*keys, "y", fold, F.lit(name).alias("model"), "p1"))
+    out = written.write(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    written.delete(data)
+    return out
+
+
+def bucket_rates(df: DataFrame, keys: list[str], y: str, cols: list[str], fold: str = "fold") -> DataFrame:
+    """The same table for the models that say, for each column, how often y was 1 among the rows of the other folds with the row's value (0.5 without any)."""
+    cases = F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("string").alias("_v")) for c in cols])
+    long = df.select(*keys, F.col(y).alias("y"), fold, F.explode(cases).alias("_c")).select(*keys, "y", fold, "_c.*")
+    own = long.groupBy("model", "_v", fold).agg(F.sum("y").alias("_s"), F.count("*").alias("_n"))
+    value = Window.partitionBy("model", "_v")  # a row for each fold
+    rate = F.coalesce(F.try_divide((F.sum("_s").over(value) - F.col("_s")).cast("double"), F.sum("_n").over(value) - F.col("_n")), F.lit(0.5))
+    rates = own.select(F.col("model").alias("_m"), F.col("_v").alias("_w"), F.col(fold).alias("_f"), rate.alias("p1"))
+    near = long.join(rates, (F.col("model") == F.col("_m")) & F.col("_v").eqNullSafe(F.col("_w")) & (F.col(fold) == F.col("_f")))
+    return near.select(*keys, "y", fold, "model", "p1")
+
+
+def ranking(oof: DataFrame, by: str = "accuracy", fold: str = "fold", at: float = 0.5) -> DataFrame:
+    """model, accuracy and roc_auc (means over the folds), accuracy_spread and place (1: the largest ``by``, ties by name)."""
+    hit = ((F.col("p1") >= at).cast("int") == F.col("y").cast("int")).cast("double")
+    each = oof.groupBy("model", fold).agg(F.avg(hit).alias("accuracy")).join(metrics.roc_auc(oof, "y", "p1", ["model", fold]), ["model", fold])
+    mean = each.groupBy("model").agg(F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("accuracy_spread"), F.avg("roc_auc").alias("roc_auc"))
+    return mean.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round(by, 9)), "model")))  # a row for each model
+
+
+def blended(oof: DataFrame, keys: list[str], best: DataFrame, n: int = 3, fold: str = "fold") -> DataFrame:
+    """keys, y, fold, model 'blend' and p1, the mean of the scores of the ``n`` first models of ``ranking``."""
+    chosen = best.where(F.col("place") <= n).select("model")  # n rows
+    return oof.join(F.broadcast(chosen), "model").groupBy(*keys, "y", fold).agg(F.avg("p1").alias("p1")).select(*keys, "y", fold, F.lit("blend").alias("model"), "p1")
+
+
+def soft_vote(models: list[tuple[object, DataFrame | None]], df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """keys, p1, model (which one, from 0) and yhat: for each row the largest probability of 1 that any model gives, ties to the first.
+
+    Each model comes with the row of its own scaler (``stats.scale_fit``), or None. ValueError without models.
+    """
+    if not models:
+        raise ValueError("no models to vote")
+    rows = df.select(*keys, *cols)
+    for i, (model, fit) in enumerate(models):
+        own = rows if fit is None else scaled(rows, fit, cols)
+        said = scored(model, assembled(own, cols)).select(*keys, F.struct(F.col("p1").alias("p1"), F.lit(-i).alias("m")).alias(f"_{i}"))
+        out = said if i == 0 else out.join(said, keys)
+    best = F.greatest(*[F.col(f"_{i}") for i in range(len(models))]) if len(models) > 1 else F.col("_0")
+    return out.select(*keys, best.alias("b")).select(*keys, "b.p1", (-F.col("b.m")).alias("model"), (F.col("b.p1") >= 0.5).cast("int").alias("yhat"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glint.operators import learning, metrics, sampling
+from glint.operators import boosting, learning, metrics, sampling, trees
 from glint.plans.queries import _FIT, _ID, _IDS, _METRIC, _MS, _RANK, _ROC, _SCORES, _SWEEP, _T, _at_half, _div, _quota, _r, _report_sql, _samples, _swept, _training, query, six
-from glint.sources import tables
+from glint.plans import features as X
+from glint.sources import tables, written
 
 # ---- splits ----------------------------------------------------------------------------------------------------------
 
@@ -158,3 +160,123 @@ def q_select_features(spark, d):
 def q_tree_stats(spark, d):
     t = learning.assembled(_training(spark, d), _FIT)
     return spark.createDataFrame(learning.tree_stats(learning.forest(numTrees=20).fit(t)), "tree int, depth int, leaves int")
+
+
+# ---- forests and boosting from histograms ---------------------------------------------------------------------------------------
+
+TREES = 20
+_POISSON = ", ".join(repr(p) for p in trees._POISSON)
+_DRAWS = "t AS (SELECT vec_id, label FROM embeddings WHERE label BETWEEN 0 AND 7), k AS (SELECT vec_id, label, unnest(range(0, 20)) AS tree FROM t), b AS (SELECT *, ('0x' || substr(md5(vec_id::varchar || ':42:' || (tree // 4)::varchar), 1 + 8 * (tree % 4)::int, 8))::bigint::double / 4294967296 AS u FROM k), w AS (SELECT vec_id, tree, len(list_filter([" + _POISSON + "], lambda s: s <= u)) AS drawn FROM b)"
+
+
+def _classes(spark, d) -> DataFrame:
+    """Vectors of a known surface, with their code, features and how often each tree draws them."""
+    v = tables.vectors(spark, d).where(F.col("code").isNotNull())
+    f = X.features(v, "ddm", ["vec_id", "code"], 8, 8, _FIT)
+    return f.withColumn("drawn", trees.bootstrap(["vec_id"], TREES))
+
+
+@query(f"WITH {_DRAWS} SELECT tree::int AS tree, count(*) FILTER (WHERE drawn > 0) AS in_bag, sum(drawn)::bigint AS draws, max(drawn)::int AS most, count(*) FILTER (WHERE drawn = 0) AS out_of_bag FROM w GROUP BY 1")
+def q_bootstrap_ledger(spark, d):
+    """What each tree of a forest draws."""
+    rows = _classes(spark, d).select(F.posexplode("drawn").alias("tree", "drawn"))
+    return rows.groupBy("tree").agg(F.count_if(F.col("drawn") > 0).alias("in_bag"), F.sum("drawn").alias("draws"), F.max("drawn").alias("most"), F.count_if(F.col("drawn") == 0).alias("out_of_bag"))
+
+
+@query(f"WITH {_DRAWS} SELECT vec_id, count(*) FILTER (WHERE drawn = 0) AS n_votes FROM w GROUP BY 1")
+def q_oob_votes(spark, d):
+    """How many trees may vote on each row, counted by the forest's own vote."""
+    return trees.votes(_forest(spark, d)).select("vec_id", "n_votes")
+
+
+def _forest(spark, d) -> trees.Forest:
+    data = trees.binned(_classes(spark, d), ["vec_id"], "code", _FIT, ("drawn",))
+    return trees.forest(data, TREES, trees.Growth(depth=5, features=3), balanced=True)
+
+
+@query()
+def q_rf_oob(spark, d):
+    """Out-of-bag class of each row by a forest with balanced class weights."""
+    return trees.votes(_forest(spark, d)).select("vec_id", F.col("y").cast("int").alias("code"), "n_votes", "votes", F.col("yhat").cast("int").alias("yhat"))
+
+
+def _boosted(spark, d, **more) -> boosting.Boosted:
+    t = sampling.stratified(_training(spark, d), ["vec_id"], "y", 0.2).withColumnRenamed("picked", "valid")
+    return boosting.boost(trees.binned(t, ["vec_id"], "y", _FIT, ("valid",)), **more)
+
+
+@query()
+def q_boost_stages(spark, d):
+    """Validation loss and area after each round, at most 200, ended 20 rounds after the best; ``best`` marks the one that is used."""
+    model = _boosted(spark, d, rounds=200, patience=20)
+    curve = boosting.evaluated(boosting.staged(model))
+    return curve.select("iteration", "loss", "roc_auc", (F.col("iteration") == model.best).alias("best"))
+
+
+@query()
+def q_boost_best(spark, d):
+    """Class and probability by the best round."""
+    return boosting.scored(_boosted(spark, d, rounds=200, patience=20)).select("vec_id", "valid", F.col("y").cast("int").alias("y"), "p1", "yhat")
+
+
+@query()
+def q_boost_dart(spark, d):
+    """The same with drop-out of a tenth of the trees in each round."""
+    return boosting.scored(_boosted(spark, d, rounds=40, patience=20, drop=0.1)).select("vec_id", "valid", F.col("y").cast("int").alias("y"), "p1", "yhat")
+
+
+@query()
+def q_boost_importances(spark, d):
+    """Splits and gain of each feature in the trees up to the best round."""
+    model = _boosted(spark, d, rounds=200, patience=20)
+    return trees.importances(trees.nodes(spark, model.used, model.data))
+
+
+@query()
+def q_boost_linear(spark, d):
+    """Bias, weights by feature, and the loss before each round, of the linear booster."""
+    bias, weights, losses = boosting.linear(_training(spark, d), "y", _FIT, 15, l2=1.0)
+    rows = [("bias", bias), *zip(_FIT, weights, strict=True), *((f"loss {i}", v) for i, v in enumerate(losses))]
+    return spark.createDataFrame(rows, "name string, value double")  # features + rounds
+
+
+# ---- comparing and blending ------------------------------------------------------------------------------------------------------
+
+
+_BUCKETS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+_RATE = "coalesce((sum(y) OVER (PARTITION BY {c}) - sum(y) OVER (PARTITION BY {c}, fold))::double / nullif(count(*) OVER (PARTITION BY {c}) - count(*) OVER (PARTITION BY {c}, fold), 0), 0.5)"
+_OOF = f"t AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice*100)::bigint AS cents, l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem), {_RANK}, f AS (SELECT *, ((k - 1) % 5)::int AS fold FROM r), oof AS (" + " UNION ALL ".join(f"SELECT {_PAIRS}, y, fold, '{c}' AS model, {_RATE.format(c=c)} AS p1 FROM f" for c in _BUCKETS) + ")"
+_PLACES = "hits AS (SELECT model, fold, avg(CASE WHEN (p1 >= 0.5)::int = y THEN 1.0::double ELSE 0 END) AS acc FROM oof GROUP BY 1, 2), c AS (SELECT model, fold, p1, sum(y)::double AS pos, count(*) - sum(y)::double AS neg FROM oof GROUP BY 1, 2, 3), b AS (SELECT *, sum(neg) OVER (PARTITION BY model, fold ORDER BY p1) - neg AS below FROM c), a AS (SELECT model, fold, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM b GROUP BY 1, 2), m AS (SELECT model, avg(acc) AS accuracy, stddev_pop(acc) AS spread, avg(auc) AS roc_auc FROM hits JOIN a USING (model, fold) GROUP BY 1), places AS (SELECT *, row_number() OVER (ORDER BY round(roc_auc, 9) DESC, model)::int AS place FROM m)"
+
+
+def _rated(spark, d) -> DataFrame:
+    """Out-of-fold rates of y by four columns, on five stratified folds."""
+    t = tables.table(spark, d, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long")).withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    folds = sampling.kfold(t.select(*_IDS, *[c for c in _BUCKETS if c not in _IDS], "y"), _IDS, "y")
+    return learning.bucket_rates(folds, _IDS, "y", _BUCKETS)
+
+
+@query(f"WITH {_OOF}, {_PLACES} SELECT model, {_r('accuracy', 'accuracy')}, {_r('spread', 'accuracy_spread')}, {_r('roc_auc', 'roc_auc')}, place FROM places")
+def q_model_ranking(spark, d):
+    """Models by mean area over the folds, from one out-of-fold table."""
+    best = learning.ranking(_rated(spark, d), "roc_auc")
+    return best.select("model", six("accuracy"), six("accuracy_spread"), six("roc_auc"), "place")
+
+
+@query(f"WITH {_OOF}, {_PLACES}, blend AS (SELECT {_PAIRS}, y, fold, avg(p1) AS p1 FROM oof JOIN places USING (model) WHERE place <= 3 GROUP BY {_PAIRS}, y, fold) SELECT fold, count(*) AS n, {_r('avg(p1)', 'mean_p')}, {_r('avg((p1 - y) * (p1 - y))', 'brier')} FROM blend GROUP BY 1")
+def q_blend(spark, d):
+    """Soft blend of the three best models: rows, mean score and Brier score of each fold."""
+    oof = written.write(_rated(spark, d), "out-of-fold")
+    blend = learning.blended(oof, _IDS, learning.ranking(oof, "roc_auc"))
+    return blend.groupBy("fold").agg(F.count("*").alias("n"), six(F.avg("p1"), "mean_p"), six(F.avg((F.col("p1") - F.col("y")) * (F.col("p1") - F.col("y"))), "brier"))
+
+
+@query()
+def q_compare_models(spark, d):
+    """Accuracy and area of each model over five folds, best first, then of the blend of the best three."""
+    t = sampling.kfold(learning.assembled(_training(spark, d), _FIT).select("vec_id", "y", "features"), ["vec_id"], "y", 5)
+    models = {"forest": learning.forest(numTrees=20), "boosted": learning.boosted(maxIter=10, maxDepth=3), "logistic": LogisticRegression(labelCol="y", maxIter=20, regParam=0.01), "tree": DecisionTreeClassifier(labelCol="y", seed=42)}
+    oof = learning.out_of_fold(t, ["vec_id"], models)
+    best = learning.ranking(oof)
+    blend = learning.ranking(learning.blended(oof, ["vec_id"], best)).withColumn("place", F.lit(None).cast("int"))
+    return best.unionByName(blend)

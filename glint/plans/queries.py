@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glint.operators import geo, learning, metrics, quality, sampling, stats
 from glint.plans import features as X
-from glint.sources import tables
+from glint.sources import tables, written
 from glint.sources.tables import KEY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -651,7 +652,7 @@ _FIT = ["mean", "std", "skew", "kurtosis", "entropy", "gini", "peak_index", "cen
 def _training(spark, d) -> DataFrame:
     v = tables.vectors(spark, d).withColumn("y", quality.binary_label(F.col("code")))
     f = X.features(v, "ddm", ["vec_id", "y"], 8, 8, _FIT)
-    return stats.standard_scale(X.only_finite(f, ["vec_id", "y"], _FIT).cache(), _FIT).withColumn("y", F.col("y").cast("double"))
+    return stats.standard_scale(written.write(X.only_finite(f, ["vec_id", "y"], _FIT), "training"), _FIT).withColumn("y", F.col("y").cast("double"))
 
 
 @query()
@@ -662,20 +663,20 @@ def q_pca(spark, d):
 
 @query()
 def q_rf(spark, d):
-    t = learning.assembled(_training(spark, d), _FIT).cache()
+    t = learning.assembled(_training(spark, d), _FIT)
     return learning.scored(learning.forest(numTrees=20).fit(t), t).select("vec_id", "y", "yhat", "p1")
 
 
 @query()
 def q_gbt(spark, d):
     t = sampling.stratified(_training(spark, d), ["vec_id"], "y", 0.2).withColumnRenamed("picked", "validation")
-    t = learning.assembled(t, _FIT).cache()
+    t = learning.assembled(t, _FIT)
     return learning.scored(learning.boosted(early_stop=True, maxIter=10, maxDepth=3).fit(t), t).select("vec_id", "y", "yhat", "p1")
 
 
 @query()
 def q_cv_search(spark, d):
-    t = learning.assembled(sampling.kfold(_training(spark, d), ["vec_id"], "y", 3), _FIT).cache()
+    t = learning.assembled(sampling.kfold(_training(spark, d), ["vec_id"], "y", 3), _FIT)
     est = learning.forest()
     tried = learning.random_params(est, {"numTrees": ("int", 5, 20), "maxDepth": ("int", 2, 6), "subsamplingRate": ("uniform", 0.5, 0.5)}, 3)
     best = learning.search(t, est, tried)
@@ -685,8 +686,10 @@ def q_cv_search(spark, d):
 
 @query()
 def q_finalize(spark, d):
-    t = learning.assembled(_training(spark, d), _FIT).cache()
-    est = learning.forest(numTrees=10)
-    small, full = est.fit(sampling.stratified(t, ["vec_id"], "y", 0.5).where("picked")), learning.finalise(est, {}, t)
-    a, b = learning.importances(small, _FIT).withColumnRenamed("importance", "base"), learning.importances(full, _FIT).withColumnRenamed("importance", "final")
-    return a.join(b, "feature").withColumn("change", F.col("final") - F.col("base"))
+    """A model is tuned on half of the rows and saved with its parameters; these are read back and fitted on all rows."""
+    t = _training(spark, d)
+    half = sampling.stratified(t, ["vec_id"], "y", 0.5).where("picked")
+    path = f"{written.folder(spark)}/glint-model-{uuid.uuid4().hex}"
+    fit = stats.scale_fit(half, _FIT)
+    learning.save(learning.forest(numTrees=10, maxDepth=4).fit(learning.assembled(stats.scaled(half, fit, _FIT), _FIT)), path, fit)
+    return learning.finalise_saved(path, learning.forest(), t, _FIT)[1]
