@@ -144,3 +144,11 @@ def predict(docs: DataFrame, model: Centroids, *keep: str) -> DataFrame:
     schema = StructType([*rows.schema[1:], StructField("_lang_pred", StringType()), StructField("_score", DoubleType()), StructField("_rejected", BooleanType())])
     said = rows.mapInArrow(run, schema).withColumnsRenamed({f"_{i}_": c for i, c in enumerate(keep)})
     return said.select(*keep, *[F.col(f"_{c}").alias(c) for c in ("lang_pred", "score", "rejected")])
+
+
+def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
+    """The rows whose language the model knows, with their columns as they are, whatever these are called."""
+    names = docs.columns
+    rows = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(names)])
+    said = predict(rows, model, *rows.columns).where("not rejected")
+    return said.select(*[F.col(own).alias(c) for own, c in zip(rows.columns, names, strict=True)])

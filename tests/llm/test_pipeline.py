@@ -22,3 +22,16 @@ def test_stages_keep_columns_and_pass_rows_on(spark, tmp_path):
     assert sum(shared in (t or "") for t in kept.values()) == 1
     assert left[2] <= left[1] and left[3] <= left[2] and left[4] == left[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_columns_with_names_that_stages_use_themselves(spark, tmp_path):
+    names = ["score", "rejected", "lang_pred", "id", "key", "rank", "size", "taken", "h", "bin", "c0"]
+    texts = [*(prose(i, 60) for i in range(30)), prose(3, 60) + " end"]
+    rows = [(i, t, "en", ["a", "b"][i % 2], len(t), *names) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, f"{SCHEMA}, {', '.join(n + ' string' for n in names)}")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        assert out.count() > 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == df.columns and out.select(*names).distinct().collect() == [tuple(names)]
+            df = out
