@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+
+from glint.sources import written
+
+#: So many counted values at most are summed in one task for each group.
+FEW = 1 << 16
 
 
 def proportions(df: DataFrame, y: str) -> DataFrame:
@@ -32,10 +36,17 @@ def prefixed(counted: DataFrame, x: str, sums: list[str], by: list[str] | None =
     """``counted`` (a row for each x within ``by``, no null or NaN x) with ``below_c`` and ``all_c`` of each c in ``sums``: c
     summed over the smaller x, and over all x, within ``by``.
 
-    Sums run inside ranges of x and are moved on by the totals of the ranges below (``ranges`` rows for each ``by``), so no
-    task holds all values.
+    ``counted`` is worked out once and written. If it has at most ``FEW`` rows these are summed as they are; else sums run inside
+    ranges of x within ``by`` and are moved on by the totals of the ranges below (``ranges`` rows for each ``by``), so no task
+    holds all values. Both give the same.
     """
     by = by or []
+    names = counted.columns
+    counted = written.write(counted, "counted")
+    if counted.count() <= FEW:
+        everyone = Window.partitionBy(*by)
+        below = everyone.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+        return counted.select(*names, *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"below_{c}") for c in sums], *[F.sum(c).over(everyone).alias(f"all_{c}") for c in sums])
     ranged = counted.join(F.broadcast(edges(counted, x, ranges))).withColumn("_part", _range_of(x, "_edges")).drop("_edges")  # one row
     totals = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(c) for c in sums])
     before, everyone = Window.partitionBy(*by).orderBy("_part"), Window.partitionBy(*by)
@@ -47,7 +58,7 @@ def prefixed(counted: DataFrame, x: str, sums: list[str], by: list[str] | None =
     near = ranged.join(moved if by else F.broadcast(moved), same)  # ``ranges`` rows
     inside = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     below = [(F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"below_{c}") for c in sums]
-    return near.select(*counted.columns, *below, *[f"all_{c}" for c in sums])
+    return near.select(*names, *below, *[f"all_{c}" for c in sums])
 
 
 def quantiles(df: DataFrame, x: str, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -69,24 +80,20 @@ def quantiles(df: DataFrame, x: str, probs: dict[str, float], by: list[str] | No
     return placed.groupBy(*by).agg(*out)
 
 
-def ecdf(df: DataFrame, x: str, keys: list[str], ranges: int = 64) -> DataFrame:
-    """Each row's step i / n in ascending order of x; equal values get steps of their own, in order of the keys.
+def ecdf(df: DataFrame, x: str, keys: list[str], ranges: int | None = None, steps: bool = False) -> DataFrame:
+    """Each row's ``cdf`` i / n (with ``steps`` its ``step`` i) in ascending order of x; equal values get steps of their own, in order of the keys.
 
-    Ranks are taken within ranges of x with about as many rows each and moved on by the counts of the ranges below, so no
-    task sorts all rows. Rows at a cut itself (where a very common value lies) are dealt further by ranges of the first
-    key, if it is a number.
+    Rows are sorted by ranges of (x, keys), numbered within their range as they are written, and moved on by the rows of the ranges
+    below; no task sorts all rows, whatever value they share.
     """
-    rows = df.join(F.broadcast(edges(df, x, ranges))).withColumn("_part", _range_of(x, "_edges"))  # one row
-    at_cut = F.lit(0)
-    if isinstance(df.schema[keys[0]].dataType, NumericType):
-        rows = rows.join(F.broadcast(edges(df, keys[0], ranges).withColumnRenamed("_edges", "_cuts")))  # one row
-        at_cut = F.when(F.array_contains("_edges", F.col(x)), 1 + _range_of(keys[0], "_cuts")).otherwise(0)
-    rows = rows.withColumn("_sub", at_cut).select(*df.columns, "_part", "_sub")
-    counts = rows.groupBy(F.col("_part").alias("_of"), F.col("_sub").alias("_at")).agg(F.count("*").alias("_n"))  # ranges * ranges rows at most
-    before = counts.select("_of", "_at", (F.sum("_n").over(Window.orderBy("_of", "_at")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    place = F.row_number().over(Window.partitionBy("_part", "_sub").orderBy(x, *keys))
-    near = rows.join(F.broadcast(before), (F.col("_part") == F.col("_of")) & (F.col("_sub") == F.col("_at")))
-    return near.withColumn("cdf", (F.col("_before") + place) / F.col("_all")).select(*df.columns, "cdf")
+    dealt = df.repartitionByRange(ranges, x, *keys) if ranges else df.repartitionByRange(x, *keys)
+    # the upper bits of the id are the task, the lower 33 count its rows
+    rows = written.write(dealt.sortWithinPartitions(x, *keys).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    counts = rows.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("_n"))  # a row for each task
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    near = rows.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part")
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return near.select(*df.columns, place.alias("step") if steps else (place / F.col("_all")).alias("cdf"))
 
 
 def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
@@ -129,12 +136,9 @@ def minmax_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, c: str, to: str) -> DataFrame:
-    """Numbers from 0 in order of the values as strings; the distinct values are numbered within their first three characters, then joined."""
-    values = df.select(F.col(c).cast("string").alias("_v")).distinct().withColumn("_head", F.substring("_v", 1, 3))
-    heads = values.groupBy(F.col("_head").alias("_of")).agg(F.count("*").alias("_n"))
-    before = heads.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_head").orderBy("_v"))
-    codes = values.join(before, F.col("_head").eqNullSafe(F.col("_of"))).select("_v", (F.col("_before") + place - 1).cast("int").alias(to))
+    """Numbers from 0 in order of the values as strings. The distinct values are sorted by ranges, numbered as they are written, and joined."""
+    values = df.select(F.col(c).cast("string").alias("_v")).distinct()
+    codes = ecdf(values, "_v", [], steps=True).select("_v", (F.col("step") - 1).cast("int").alias(to))
     return df.join(codes, F.col(c).cast("string").eqNullSafe(F.col("_v"))).drop("_v")
 
 

@@ -202,8 +202,8 @@ def _parts(data: Binned, columns: list[str], channels: Callable[[dict[str, np.nd
     return data.rows.select("y", "bins", *columns).mapInArrow(run, "tree int, task int, sums binary")
 
 
-def added(parts: DataFrame, tasks: int) -> dict[int, np.ndarray]:
-    """The sums of all tasks by tree, from (tree, task, sums)."""
+def reduced(parts: DataFrame, tasks: int) -> DataFrame:
+    """(tree, task, sums) with the sums of ``tasks`` tasks added in two steps if they are many, so that no group holds more than about the root of them."""
 
     def run(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(s.as_py()) for s in group.column("sums"))
@@ -213,8 +213,13 @@ def added(parts: DataFrame, tasks: int) -> dict[int, np.ndarray]:
         groups = math.isqrt(tasks)
         for more in (groups, 1):
             parts = parts.withColumn("task", F.col("task") % more).groupBy("tree", "task").applyInArrow(run, "tree int, task int, sums binary")
+    return parts
+
+
+def added(parts: DataFrame, tasks: int) -> dict[int, np.ndarray]:
+    """The sums of all tasks by tree, from (tree, task, sums)."""
     out: dict[int, np.ndarray] = {}
-    for r in sorted(parts.collect(), key=lambda r: (r["tree"], r["task"])):  # as many rows as trees, or DIRECT times as many
+    for r in sorted(reduced(parts, tasks).collect(), key=lambda r: (r["tree"], r["task"])):  # as many rows as trees, or DIRECT times as many
         out[r["tree"]] = out.get(r["tree"], 0) + np.frombuffer(r["sums"])
     return out
 

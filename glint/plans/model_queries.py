@@ -8,7 +8,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glint.operators import boosting, learning, metrics, sampling, trees
+from glint.operators import boosting, learning, metrics, sampling, search, trees
 from glint.plans.queries import _FIT, _ID, _IDS, _METRIC, _MS, _RANK, _ROC, _SCORES, _SWEEP, _T, _at_half, _div, _quota, _r, _report_sql, _samples, _swept, _training, query, six
 from glint.plans import features as X
 from glint.sources import tables, written
@@ -280,3 +280,15 @@ def q_compare_models(spark, d):
     best = learning.ranking(oof)
     blend = learning.ranking(learning.blended(oof, ["vec_id"], best)).withColumn("place", F.lit(None).cast("int"))
     return best.unionByName(blend)
+
+
+_SPACE = {"depth": ("int", 1, 5), "rate": ("log", 0.02, 0.5), "penalty": ("log", 0.1, 20.0), "least": ("log", 0.5, 10.0), "rounds": ("int", 2, 11)}
+
+
+@query()
+def q_parzen_search(spark, d):
+    """250 candidates on five folds: half drawn at random, half by the Parzen model of these; mean area of each."""
+    t = sampling.kfold(_training(spark, d), ["vec_id"], "y", 5)
+    trials = search.searched(trees.binned(t, ["vec_id"], "y", _FIT, ("fold",)), _SPACE, [125, 125], 5)
+    rows = [(i, b, a, {k: float(v) for k, v in p.items()}) for i, (b, p, a) in enumerate(trials)]
+    return spark.createDataFrame(rows, "candidate int, batch int, auc double, params map<string, double>")  # 250 rows

@@ -15,7 +15,9 @@ def values(n=3000):
     return x
 
 
-def test_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_quantiles_equal_numpy(spark, monkeypatch, few):
+    monkeypatch.setattr(stats, "FEW", few)
     x = values()
     df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(x)] + [(0, None), (1, float("nan"))], "g int, x double")
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.987, "e": 1.0}
@@ -26,7 +28,9 @@ def test_quantiles_equal_numpy(spark):
     assert stats.quantiles(spark.createDataFrame([(4.5,)], "x double"), "x", {"m": 0.3}).first().m == 4.5
 
 
-def test_prefix_sums_and_steps(spark):
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_prefix_sums_and_steps(spark, monkeypatch, few):
+    monkeypatch.setattr(stats, "FEW", few)
     x = values(600)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id int, x double")
     counted = df.groupBy("x").agg(F.count("*").alias("n"))
