@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glint.operators.stats import ecdf
 
 #: Up to this many classes their counts by salt (256 rows each) are broadcast.
 SMALL = 1024
@@ -21,7 +22,7 @@ def order(keys: list[str], seed: str = "42") -> Column:
 
 
 def ranked(df: DataFrame, keys: list[str], by: list[str] | None = None, seed: str = "42", upto: int | None = None, small: bool = False) -> DataFrame:
-    """With ``rank`` (from 1) in md5 order within ``by``, and ``size``, the rows of it.
+    """With ``_rank`` (from 1) in md5 order within ``by``, and ``_size``, the rows of it.
 
     With ``upto``, only rows of salts that hold a rank up to it (all of these, and some more): others never reach the sort.
     ``small``: the caller has checked that the counts (256 for each ``by``) may be broadcast.
@@ -29,8 +30,8 @@ def ranked(df: DataFrame, keys: list[str], by: list[str] | None = None, seed: st
     by = by or []
     df = df.withColumn("_md5", order(keys, seed)).withColumn("_salt", F.substring("_md5", 1, 2))
     counts = df.groupBy(*by, "_salt").agg(F.count("*").alias("_n"))  # 256 rows a class
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_salt")) - F.col("_n")).withColumn("size", F.sum("_n").over(Window.partitionBy(*by))).drop("_n")
-    keyed = before.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*by, "_salt"])], "_before", "size")
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_salt")) - F.col("_n")).withColumn("_size", F.sum("_n").over(Window.partitionBy(*by))).drop("_n")
+    keyed = before.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*by, "_salt"])], "_before", "_size")
     if upto is not None:
         keyed = keyed.where(F.col("_before") < upto)
     same = F.lit(True)
@@ -38,7 +39,7 @@ def ranked(df: DataFrame, keys: list[str], by: list[str] | None = None, seed: st
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
     near = df.join(F.broadcast(keyed) if small or not by else keyed, same)  # without classes, 256 rows
     place = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy("_md5", *keys))
-    return near.withColumn("rank", F.col("_before") + place).drop("_md5", "_salt", "_before", *[f"_of_{i}" for i in range(len(by) + 1)])
+    return near.withColumn("_rank", F.col("_before") + place).drop("_md5", "_salt", "_before", *[f"_of_{i}" for i in range(len(by) + 1)])
 
 
 def _classes(df: DataFrame, y: str) -> tuple:
@@ -54,7 +55,7 @@ def balanced(df: DataFrame, keys: list[str], y: str, n: int, seed: str = "42") -
     classes, least, which = _classes(df, y)
     if classes and least < n:
         raise ValueError(f"class {which} has {least} rows, fewer than {n}")
-    return ranked(df, keys, [y], seed, n, classes <= SMALL).where(F.col("rank") <= n).drop("rank", "size")
+    return ranked(df, keys, [y], seed, n, classes <= SMALL).where(F.col("_rank") <= n).drop("_rank", "_size")
 
 
 def shares(sizes: DataFrame, fraction: float) -> DataFrame:
@@ -79,7 +80,7 @@ def three_way(df: DataFrame, keys: list[str], y: str, test: float = 0.2, val: fl
     second = shares(rest, val).select("_y", F.col("quota").alias("_more"))
     both = second.join(taken, F.col("_y").eqNullSafe(F.col("_z"))).drop("_z")
     r = ranked(df, keys, [y], seed).join(F.broadcast(both), F.col(y).eqNullSafe(F.col("_y")))  # a row for each class
-    part = F.when(F.col("rank") <= F.col("quota"), "test").when(F.col("rank") <= F.col("quota") + F.col("_more"), "val").otherwise("train")
+    part = F.when(F.col("_rank") <= F.col("quota"), "test").when(F.col("_rank") <= F.col("quota") + F.col("_more"), "val").otherwise("train")
     return r.withColumn("part", part).select(*df.columns, "part")
 
 
@@ -96,7 +97,7 @@ def stratified(df: DataFrame, keys: list[str], y: str, fraction: float, seed: st
     """All rows with ``picked``: whether they are in the stratified sample (the others are its complement)."""
     q = quotas(df, y, fraction)
     r = ranked(df, keys, [y], seed)
-    return r.join(F.broadcast(q), F.col(y).eqNullSafe(F.col("_y"))).withColumn("picked", F.col("rank") <= F.col("quota")).drop("rank", "size", "_y", "quota")  # a row for each class
+    return r.join(F.broadcast(q), F.col(y).eqNullSafe(F.col("_y"))).withColumn("picked", F.col("_rank") <= F.col("quota")).drop("_rank", "_size", "_y", "quota")  # a row for each class
 
 
 def rare_preserving(df: DataFrame, keys: list[str], y: str, fraction: float, seed: str = "42") -> DataFrame:
@@ -107,8 +108,22 @@ def rare_preserving(df: DataFrame, keys: list[str], y: str, fraction: float, see
     return marked.where("rare").drop("rare").unionByName(rest)
 
 
+def stratified_sample(df: DataFrame, keys: list[str], y: str, fraction: float, seed: str = "42") -> DataFrame:
+    """Only the picked rows of ``stratified``; salts beyond the largest quota never reach the sort."""
+    q = quotas(df, y, fraction)
+    classes, most = q.agg(F.count("*"), F.coalesce(F.max("quota"), F.lit(0))).first()
+    r = ranked(df, keys, [y], seed, most, classes <= SMALL)
+    return r.join(F.broadcast(q), F.col(y).eqNullSafe(F.col("_y"))).where(F.col("_rank") <= F.col("quota")).select(*df.columns)  # a row for each class
+
+
 def uniform(df: DataFrame, keys: list[str], n: int, seed: str = "42") -> DataFrame:
-    return df.orderBy(order(keys, seed), *keys).limit(n)
+    """n rows (all, if fewer), the first by md5."""
+    return ranked(df, keys, seed=seed, upto=n).where(F.col("_rank") <= n).drop("_rank", "_size")
+
+
+def first(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first n rows in order of the keys; rows are sorted and numbered by ranges, never in one task."""
+    return ecdf(df, keys[0], keys[1:], steps="_step").where(F.col("_step") <= n).drop("_step")
 
 
 def with_replacement(df: DataFrame, keys: list[str], fraction: float, seed: str = "42") -> DataFrame:
@@ -130,7 +145,7 @@ def with_replacement(df: DataFrame, keys: list[str], fraction: float, seed: str
 
 def kfold(df: DataFrame, keys: list[str], y: str, k: int = 5, seed: str = "42") -> DataFrame:
     """With ``fold`` (0 to k - 1), stratified by class."""
-    return ranked(df, keys, [y], seed).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank", "size")
+    return ranked(df, keys, [y], seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
 def balanced_subsets(df: DataFrame, keys: list[str], y: str, subsets: int = 10, per_class: int = 25_000) -> DataFrame:
@@ -138,7 +153,7 @@ def balanced_subsets(df: DataFrame, keys: list[str], y: str, subsets: int = 10,
     classes, least, _ = _classes(df, y)
     n = min(least, per_class)
     many = df.withColumn("subset", F.explode(F.sequence(F.lit(1), F.lit(subsets))))
-    return ranked(many, [*keys, "subset"], ["subset", y], upto=n, small=classes * subsets <= SMALL).where(F.col("rank") <= n).drop("rank", "size")
+    return ranked(many, [*keys, "subset"], ["subset", y], upto=n, small=classes * subsets <= SMALL).where(F.col("_rank") <= n).drop("_rank", "_size")
 
 
 def identical_subsets(df: DataFrame, keys: list[str], subset: str = "subset") -> DataFrame:

@@ -80,8 +80,8 @@ def quantiles(df: DataFrame, x: str, probs: dict[str, float], by: list[str] | No
     return placed.groupBy(*by).agg(*out)
 
 
-def ecdf(df: DataFrame, x: str, keys: list[str], ranges: int | None = None, steps: bool = False) -> DataFrame:
-    """Each row's ``cdf`` i / n (with ``steps`` its ``step`` i) in ascending order of x; equal values get steps of their own, in order of the keys.
+def ecdf(df: DataFrame, x: str, keys: list[str], ranges: int | None = None, steps: str | None = None) -> DataFrame:
+    """Each row's ``cdf`` i / n (or, in a column named by ``steps``, i) in ascending order of x; equal values get steps of their own, in order of the keys.
 
     Rows are sorted by ranges of (x, keys), numbered within their range as they are written, and moved on by the rows of the ranges
     below; no task sorts all rows, whatever value they share.
@@ -93,7 +93,7 @@ def ecdf(df: DataFrame, x: str, keys: list[str], ranges: int | None = None, step
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     near = rows.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part")
     place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return near.select(*df.columns, place.alias("step") if steps else (place / F.col("_all")).alias("cdf"))
+    return near.select(*df.columns, place.alias(steps) if steps else (place / F.col("_all")).alias("cdf"))
 
 
 def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
@@ -138,7 +138,7 @@ def minmax_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 def label_encode(df: DataFrame, c: str, to: str) -> DataFrame:
     """Numbers from 0 in order of the values as strings. The distinct values are sorted by ranges, numbered as they are written, and joined."""
     values = df.select(F.col(c).cast("string").alias("_v")).distinct()
-    codes = ecdf(values, "_v", [], steps=True).select("_v", (F.col("step") - 1).cast("int").alias(to))
+    codes = ecdf(values, "_v", [], steps="_step").select("_v", (F.col("_step") - 1).cast("int").alias(to))
     return df.join(codes, F.col(c).cast("string").eqNullSafe(F.col("_v"))).drop("_v")
 
 

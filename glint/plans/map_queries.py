@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glint.operators import maps, quality
+from glint.operators import maps, quality, sampling
 from glint.plans import features as X
 from glint.plans.queries import _OBS, _VEC, _r, query, six
 from glint.sources import tables
@@ -62,7 +62,7 @@ def q_coverage(spark, d):
     return maps.coverage(quality.quality(tables.observations(spark, d), "with_lat_lons_time")).select(at("coverage_start"), at("coverage_end"), "n")
 
 
-@query(f"WITH {_OBS} SELECT count(*) FILTER (WHERE copol = 13) > 0 AS copol, false AS snr, count(*) FILTER (WHERE copol = 13) > 0 AS found FROM obs WHERE isfinite(snr) OR snr IS NULL")
+@query(f"WITH {_OBS}, o AS (SELECT CASE WHEN copol = 13 THEN 'inf'::double ELSE copol::double END AS copol, snr::double AS snr FROM obs), f AS (SELECT coalesce(bool_or(isinf(copol) OR abs(copol) >= 1.7976931348623157e308), false) AS copol, coalesce(bool_or(isinf(snr) OR abs(snr) >= 1.7976931348623157e308), false) AS snr FROM o) SELECT copol, snr, copol OR snr AS found FROM f")
 def q_overflows(spark, d):
     o = tables.observations(spark, d).withColumn("copol", F.when(F.col("copol") == 13, F.lit(float("inf"))).otherwise(F.col("copol")))
     return maps.overflows(o, ["copol", "snr"])
@@ -73,7 +73,7 @@ def q_alignment(spark, d):
     return maps.alignment(tables.table(spark, d, "documents").select("doc_id"), tables.table(spark, d, "labels").select("doc_id"), "doc_id")
 
 
-@query(f"WITH {_VEC}, v AS (SELECT vec_id, embedding FROM vec ORDER BY vec_id LIMIT 3000000), w AS (SELECT vec_id, unnest(embedding)::double AS e FROM v) SELECT vec_id, {_r('sum(abs(e))', 'total')} FROM w GROUP BY 1")
+@query(f"WITH {_VEC}, v AS (SELECT vec_id, embedding FROM vec ORDER BY vec_id LIMIT 300), w AS (SELECT vec_id, unnest(embedding)::double AS e FROM v) SELECT vec_id, {_r('sum(abs(e))', 'total')} FROM w GROUP BY 1")
 def q_first_rows(spark, d):
-    first = tables.vectors(spark, d).orderBy("vec_id").limit(3_000_000)  # the first rows are what is asked for
+    first = sampling.first(tables.vectors(spark, d), ["vec_id"], 300)  # the first rows are what is asked for
     return first.select("vec_id", six(F.aggregate("ddm", F.lit(0.0), lambda a, v: a + v), "total"))

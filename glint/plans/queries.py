@@ -352,7 +352,7 @@ def q_balanced_sample(spark, d):
 
 @query(f"WITH {_T}, {_RANK}, {_quota('0.2::double')} SELECT {_ID}, y FROM r JOIN q ON qy = y WHERE k <= quota")
 def q_stratified_sample(spark, d):
-    return sampling.stratified(_samples(spark, d), _IDS, "y", 0.2).where("picked").drop("picked")
+    return sampling.stratified_sample(_samples(spark, d), _IDS, "y", 0.2)
 
 
 @query(f"WITH {_T}, c AS (SELECT y AS cy, count(*) AS n FROM t GROUP BY 1), rare AS (SELECT cy FROM c WHERE n = (SELECT min(n) FROM c)), {_RANK}, {_quota('0.1::double', 'y NOT IN (SELECT cy FROM rare)')} SELECT {_ID}, y FROM t WHERE y IN (SELECT cy FROM rare) UNION ALL SELECT {_ID}, y FROM r JOIN q ON qy = y WHERE k <= quota")
@@ -464,6 +464,21 @@ def q_point_in_polygon(spark, d):
     return geo.contained(_points(spark, d).where("kind = 'customer'"), n.select(F.col("n_nationkey").alias("id"), ring.alias("ring")), "id")
 
 
+_HOLES = "shapes AS (SELECT n_nationkey AS id, n_nationkey * 12 - 180 AS x0, n_nationkey * 12 - 150 AS x1, n_nationkey * 6 - 90 AS y0, n_nationkey * 6 - 60 AS y1, n_nationkey * 12 - 170 AS hx0, n_nationkey * 12 - 157 AS hx1, n_nationkey * 6 - 80 AS hy0, n_nationkey * 6 - 69 AS hy1 FROM nation UNION ALL SELECT 100 + r_regionkey, -175 - r_regionkey, 170, -85, 85 - r_regionkey, -100, 10 * r_regionkey, -40, 40 FROM region)"
+
+
+@query(f"WITH {_HOLES} SELECT c_custkey AS id, s.id AS polygon FROM (SELECT c_custkey, c_custkey % 360 - 180 AS x, c_nationkey::bigint * 7 - 90 AS y FROM customer) c JOIN shapes s ON x > x0 AND x < x1 AND y > y0 AND y < y1 AND NOT (x BETWEEN hx0 AND hx1 AND y BETWEEN hy0 AND hy1)")
+def q_points_in_shapes(spark, d):
+    """Customers in shapes with holes, from a nation's to nearly the whole map."""
+    n = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("id"), *[(F.col("n_nationkey") * m + a).alias(c) for c, m, a in (("x0", 12, -180), ("x1", 12, -150), ("y0", 6, -90), ("y1", 6, -60), ("hx0", 12, -170), ("hx1", 12, -157), ("hy0", 6, -80), ("hy1", 6, -69))])
+    k = F.col("r_regionkey")
+    r = tables.table(spark, d, "region").select((k + 100).cast("int").alias("id"), *[v.alias(c) for c, v in (("x0", -175 - k), ("x1", F.lit(170)), ("y0", F.lit(-85)), ("y1", 85 - k), ("hx0", F.lit(-100)), ("hx1", 10 * k), ("hy0", F.lit(-40)), ("hy1", F.lit(40)))])
+    corner = lambda a, b: F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    ring = lambda p: F.array(corner(f"{p}x0", f"{p}y0"), corner(f"{p}x1", f"{p}y0"), corner(f"{p}x1", f"{p}y1"), corner(f"{p}x0", f"{p}y1"), corner(f"{p}x0", f"{p}y0"))
+    shapes = n.unionByName(r).select("id", F.array(ring(""), ring("h")).alias("rings"))
+    return geo.within(_points(spark, d).where("kind = 'customer'"), shapes, "id")
+
+
 # ---- scores ---------------------------------------------------------------------------------------------------------------
 
 _CM = "count(*) FILTER (WHERE y=1 AND h=1) AS tp, count(*) FILTER (WHERE y=0 AND h=0) AS tn, count(*) FILTER (WHERE y=0 AND h=1) AS fp, count(*) FILTER (WHERE y=1 AND h=0) AS fn"
