@@ -34,6 +34,13 @@ f AS (SELECT *, ({bits})::bigint AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {base}) <> 0 AS base_failed, (failed & {base | own}) = 0 AS kept, failed, ({passes})::bigint AS passes, {only} AS only_rule FROM f"""
 
 
+def ablations() -> str:
+    cases = " UNION ALL ".join(f"SELECT '{p}' AS policy, '{r}' AS rule, {Q.mask(rules)}::bigint AS mask, {Q.mask([r])}::bigint AS bit" for p, rules in Q.POLICIES.items() for r in rules)
+    return f"""
+SELECT policy, rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed & mask = bit) AS n_only, count(*) FILTER (WHERE failed & mask & ~bit = 0) AS n_kept_without
+FROM ({quality_rules()}) q, ({cases}) c GROUP BY 1, 2"""
+
+
 MIX = rf"""
 WITH d AS (SELECT doc_id, source, text, len({_WORDS})::bigint AS size,
  coalesce(1.0::double - 0.9::double * {_chars('text', '#*$%&|<>0123456789')}::double / greatest(length(text), 1)::double, 0.1::double) AS quality,

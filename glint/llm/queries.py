@@ -24,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, alone and with others, from the ledger of failure bits."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "quality_ablations": quality_ablations,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
@@ -92,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_html_extraction": op12_html_extraction,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "op4_mix_sources": oracles.MIX, "op8_near_dups": oracles.NEAR, "op11_merkle_manifest": oracles.merkle(), "op13_spelling_variants": oracles.SPELLING}
+ORACLES: dict[str, str] = {"op2_quality_rules": oracles.quality_rules(), "quality_ablations": oracles.ablations(), "op4_mix_sources": oracles.MIX, "op8_near_dups": oracles.NEAR, "op11_merkle_manifest": oracles.merkle(), "op13_spelling_variants": oracles.SPELLING}
