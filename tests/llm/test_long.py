@@ -14,7 +14,7 @@ from tests.llm.helpers import docs, prose
 @pytest.fixture(scope="module")
 def long(spark):
     words = prose(1, 400_000)  # about 3 MB
-    lines = "\n".join(prose(i, 12) for i in range(20_000))
+    lines = "\n".join(prose(i, 12, ("north", "south", "east", "west", "river", "stone", "cloud", "grass")) for i in range(20_000))
     texts = [words, words + " end", lines, "x" * 3_000_000, *[prose(i, 60) for i in range(50, 60)]]
     assert min(map(len, texts[:4])) > 1_500_000
     return docs(spark, texts, ["a", "b"] * 7, ["en"] * 14).cache()
