@@ -80,26 +80,6 @@ def test_near_copies_with_text_of_their_own_in_a_large_group(spark):
     assert len(links) >= 200 and got == components(range(len(texts)), links)
 
 
-def test_few_pairs_of_related_texts_are_verified(spark, monkeypatch):
-    # excerpts of one text, none linked with another: nearly all share rare values, few as many as a link needs; lists are long as in a large group
-    monkeypatch.setattr(near_dups, "SHORT", 4)
-    monkeypatch.setattr(near_dups, "MEETINGS", 32)
-    counted = {}
-    confirmed = near_dups._confirmed
-
-    def counting(pairs, *rest):
-        counted["pairs"] = pairs.count()
-        return confirmed(pairs, *rest)
-
-    monkeypatch.setattr(near_dups, "_confirmed", counting)
-    rng = random.Random(3)
-    words = prose(77, 400).split()
-    texts = [" ".join(w for w in words if rng.random() < 0.88) for _ in range(150)]
-    equal_brute_force(spark, [*texts, texts[0] + " end"], 2)
-    print("pairs verified:", counted["pairs"], "of", 151 * 150 // 2)
-    assert counted["pairs"] < 0.05 * 151 * 150 / 2
-
-
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dups.find(docs(spark, [])).count() == 0
     df = docs(spark, [prose(1), prose(1)]).unionByName(docs(spark, [prose(1)])).withColumn("doc_id", __import__("pyspark").sql.functions.expr("if(doc_id = 1, null, doc_id)"))
