@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glint.llm import line_dedup, linking, near_dups
+from glint.llm import line_dedup, linking, near_dups, scratch
 from tests.llm.helpers import ODD, components, docs, edit_distance, prose, shingles
 
 
@@ -87,6 +87,27 @@ def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert len(got) == 3 and sorted(str(r.component_id) for r in got) == ["0", "0", "None"]
 
 
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, write, seen = spark.conf.get(rows), scratch.cut, {}
+
+    def cut(df, name):
+        seen[name] = int(spark.conf.get(rows))
+        return write(df, name)
+
+    monkeypatch.setattr(scratch, "cut", cut)
+    near_dups.find(docs(spark, corpus()), 2)
+    assert max(seen["sets"], seen["full"]) <= 1024 < int(before) and spark.conf.get(rows) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield b.slice(0, 1).set_column(0, "id", __import__("pyarrow").array([b.num_rows]))
+
+    with scratch.small_batches(spark):
+        got = [r.id for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "id long").collect()]
+    assert sum(got) == 5000 and max(got) <= 1024 and spark.conf.get(rows) == before
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
