@@ -226,10 +226,10 @@ def classes(docs: DataFrame, counted: bool = True) -> DataFrame:
     many = posts.where("index").groupBy("key").agg(F.count("*").alias("c")).where(f"c > {linking.LONG}")
     short, long = posts.join(many, "key", "left_anti"), posts.join(many, "key", "left_semi")
     links = _verified(_met(short.where("index"), short, "key"), texts)
-    long = scratch.cut(long, "line-long")
-    if counted and not long.isEmpty():
+    long, seen = scratch.cut_seen(long, "line-long", n=F.count("*"))
+    if counted and seen["n"]:
         links = links.union(_verified(_met_in_blocks(long, many), texts))
-    elif not long.isEmpty():
+    elif seen["n"]:
         links = links.union(_verified(linking.star(long), texts))
         links = links.union(_verified(linking.across(long, linking.components(links), ("h",), _CLOSE), texts))
     links = scratch.cut(links.distinct(), "line-links")
@@ -238,11 +238,11 @@ def classes(docs: DataFrame, counted: bool = True) -> DataFrame:
     roots = linking.components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count("*").alias("c"))
-    named = scratch.cut(first.join(roots, "id", "left").join(degree, "id", "left").select("id", "first", "c", F.coalesce("root", "id").alias("class"), (F.coalesce("n_links", F.lit(0)) if counted else F.lit(None).cast("long")).alias("n_links")), "line-classes")
+    named, seen = scratch.cut_seen(first.join(roots, "id", "left").join(degree, "id", "left").select("id", "first", "c", F.coalesce("root", "id").alias("class"), (F.coalesce("n_links", F.lit(0)) if counted else F.lit(None).cast("long")).alias("n_links")), "line-classes", total=F.sum("c"))
     keeper = named.groupBy("class").agg(F.min("first").alias("keeper"), F.count("*").alias("texts"))
     # a class of one line keeps its own first occurrence, so only the others need the keeper
     shared = named.join(keeper.where("texts > 1"), "class", "left").select("id", "c", "class", "n_links", "first", F.coalesce("keeper", "first").alias("keeper"))
-    total = named.agg(F.sum("c")).first()[0] or 0
+    total = seen["total"] or 0
     hot = F.col("c") * HOT > total  # so many lines can't be more than HOT
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALT))).otherwise(F.lit(0).cast("long"))
     dealt = lines.select("doc_id", "h", "pos", "id").join(F.broadcast(named.where(hot).select("id", F.lit(True).alias("hot"))), "id", "left").withColumn("salt", salt)
