@@ -276,6 +276,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     at = {c: f"c{i}" for i, c in enumerate(names)}
     text = F.col(at["text"]).cast("string")
     dropped = classes(docs, counted=False).groupBy("doc_id", "h").agg(F.collect_list(F.when(~F.col("kept"), F.col("pos"))).alias("gone"), F.count_if("kept").alias("left")).where("size(gone) > 0")
+    dropped = scratch.cut(dropped, "line-dropped")
     again = _copies(docs.where(F.col("text").cast("string").rlike(_WORD) & F.col("doc_id").isNotNull())).where("copies > 1")
     marked = dropped.join(again, ["doc_id", "h"], "full")
     joined = rows.withColumn("h", F.xxhash64(text)).withColumn("doc_id", F.col(at["doc_id"]).cast("long")).join(marked, ["doc_id", "h"], "left")

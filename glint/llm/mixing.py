@@ -72,6 +72,7 @@ def plan(docs: DataFrame, weights: list[float], max_epochs: int = 3, seed: str =
         F.max(F.when(F.col("before") < F.col("budget"), F.struct("range", "before"))).alias("edge"),
     )
     edge = edge.select(F.col("source").alias("of"), "source_size", "weight", "target", "epochs", "budget", F.coalesce("edge.range", F.lit(-1)).alias("edge"), F.coalesce("edge.before", F.lit(0)).alias("before"))
+    edge = scratch.cut(edge, "mix-edge")  # a row for each source, which two joins read
     rows = sized.join(edge, F.col("source").eqNullSafe(F.col("of")))
     inside = F.col("range") == F.col("edge")
     whole = rows.where(~inside).withColumn("part", F.when(F.col("range") < F.col("edge"), F.col("size")).otherwise(0))
