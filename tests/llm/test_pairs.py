@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glint.llm import line_dedup, linking, near_dups, scratch
+from glint.llm.words import shingle_set
 from tests.llm.helpers import ODD, components, docs, edit_distance, prose, shingles
 
 
@@ -80,6 +81,28 @@ def test_near_copies_with_text_of_their_own_in_a_large_group(spark):
     assert len(links) >= 200 and got == components(range(len(texts)), links)
 
 
+def test_copies_of_texts_with_near_copies(spark, monkeypatch):
+    # what copies have alone counts once, though the sample doesn't know it
+    monkeypatch.setattr(near_dups, "COMMON", 1)
+    texts = []
+    for g in range(4):
+        base = prose(g, 100)
+        texts += [base + "".join(f" own{g}{t}{i}" for i in range(8)) for t in "aaaaabbbb"] + [base]
+    assert equal_brute_force(spark, [*texts, *(prose(50 + i) for i in range(5))], 2)
+
+
+def test_a_link_is_kept_whatever_its_sketch_says(spark):
+    # 50 of 250 values differ, and nearly all of these are among the 64 smallest
+    words = [f"word{i}" for i in range(201)]
+    own = list(words)
+    for i in range(50):
+        own.append(next(w for w in (f"own{i}x{k}" for k in range(100_000)) if shingle_set(f"{own[-1]} {w}", 2)[0] < 1 << 58))
+    texts = [" ".join(words), " ".join(own), prose(3)]
+    low = [set(shingle_set(t, 2)[: near_dups.SKETCH].tolist()) for t in texts[:2]]
+    union = set(sorted(low[0] | low[1])[: near_dups.SKETCH])
+    assert len(union & low[0] & low[1]) < 20 and equal_brute_force(spark, texts, 2) == [(1, 0)]
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dups.find(docs(spark, [])).count() == 0
     df = docs(spark, [prose(1), prose(1)]).unionByName(docs(spark, [prose(1)])).withColumn("doc_id", __import__("pyspark").sql.functions.expr("if(doc_id = 1, null, doc_id)"))
