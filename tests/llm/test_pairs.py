@@ -91,6 +91,36 @@ def test_copies_of_texts_with_near_copies(spark, monkeypatch):
     assert equal_brute_force(spark, [*texts, *(prose(50 + i) for i in range(5))], 2)
 
 
+def test_values_of_copies_are_dealt_out_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "COMMON", 1)
+    write, rows = scratch.cut, {}
+
+    def cut(df, name):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(scratch, "cut", cut)
+    base = prose(5, 200)
+    near_dups.find(docs(spark, [base + " end"] * 30 + [base + " of it"] * 30), 2)
+    assert 0 < rows["values"] <= 2 * len(shingles(base, 2)) + 4
+
+
+def test_written_tables_have_small_row_groups(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(scratch, "GROUP", 1 << 20)
+    out = scratch.cut(spark.range(0, 600_000, 1, 1).select(F.xxhash64("id").alias("h")), "groups")
+    for f in out.inputFiles():
+        m = __import__("pyarrow.parquet").parquet.ParquetFile(f.removeprefix("file://")).metadata
+        seen += [m.row_group(i).total_byte_size for i in range(m.num_row_groups)]
+    assert len(seen) > 2 and max(seen) < 2 << 20 and out.agg(F.countDistinct("h")).first()[0] == 600_000
+    read = "spark.sql.parquet.columnarReaderBatchSize"
+    before = int(spark.conf.get(read))
+    with scratch.small_batches(spark):
+        assert int(spark.conf.get(read)) <= 1024 < before
+    assert int(spark.conf.get(read)) == before
+
+
 def test_a_link_is_kept_whatever_its_sketch_says(spark):
     # 50 of 250 values differ, and nearly all of these are among the 64 smallest
     words = [f"word{i}" for i in range(201)]
