@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from functools import reduce
+from operator import add
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -20,6 +21,9 @@ from glint.operators import metrics
 from glint.operators.stats import scale_fit, scaled, standard_scale
 from glint.sources import written
 
+#: Up to this many rates are broadcast.
+FEW = 1 << 16
+
 
 def assembled(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df)
@@ -149,18 +153,43 @@ def out_of_fold(df: DataFrame, keys: list[str], models: dict[str, Estimator], fo
     return out
 
 
-def bucket_rates(df: DataFrame, keys: list[str], y: str, cols: list[str], fold: str = "fold") -> DataFrame:
-    """The same table for the models that say, for each column, how often y was 1 among the rows of the other folds with the row's value (0.5 without any)."""
+def _cases(df: DataFrame, keys: list[str], y: str, cols: list[str], fold: str) -> DataFrame:
+    """keys, y, fold, model (the column's name) and _v (its value, as a string)."""
     cases = F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("string").alias("_v")) for c in cols])
-    long = df.select(*keys, F.col(y).alias("y"), fold, F.explode(cases).alias("_c")).select(*keys, "y", fold, "_c.*")
-    own = long.groupBy("model", "_v", fold).agg(F.sum("y").alias("_s"), F.count("*").alias("_n"))
+    return df.select(*keys, F.col(y).alias("y"), fold, F.explode(cases).alias("_c")).select(*keys, "y", fold, "_c.*")
+
+
+def rates(df: DataFrame, y: str, cols: list[str], fold: str = "fold") -> DataFrame:
+    """_m (a column), _w (a value of it), _f and p1: how often y was 1 among the rows of other folds than _f with the value (0.5 without any)."""
+    own = _cases(df, [], y, cols, fold).groupBy("model", "_v", fold).agg(F.sum("y").alias("_s"), F.count("*").alias("_n"))
     value = Window.partitionBy("model", "_v")  # a row for each fold
     rate = F.coalesce(F.try_divide((F.sum("_s").over(value) - F.col("_s")).cast("double"), F.sum("_n").over(value) - F.col("_n")), F.lit(0.5))
-    rates = own.select(F.col("model").alias("_m"), F.col("_v").alias("_w"), F.col(fold).alias("_f"), rate.alias("p1"))
-    near = long.join(rates, (F.col("model") == F.col("_m")) & F.col("_v").eqNullSafe(F.col("_w")) & (F.col(fold) == F.col("_f")))
+    return own.select(F.col("model").alias("_m"), F.col("_v").alias("_w"), F.col(fold).alias("_f"), rate.alias("p1"))
+
+
+def bucket_rates(df: DataFrame, keys: list[str], y: str, cols: list[str], fold: str = "fold", known: DataFrame | None = None) -> DataFrame:
+    """The same table for the models that say, for each column, how often y was 1 among the rows of the other folds with the row's value (0.5 without any).
+
+    ``known``: what ``rates`` gives, if the caller has it; it may be marked for broadcast.
+    """
+    long = _cases(df, keys, y, cols, fold)
+    known = rates(df, y, cols, fold) if known is None else known
+    near = long.join(known, (F.col("model") == F.col("_m")) & F.col("_v").eqNullSafe(F.col("_w")) & (F.col(fold) == F.col("_f")))
     return near.select(*keys, "y", fold, "model", "p1")
 
 
+def blended_rates(df: DataFrame, y: str, cols: list[str], known: DataFrame, fold: str = "fold") -> DataFrame:
+    """fold, n, and sums ``p`` and ``square`` of the mean rate of ``cols`` and of its squared distance from y, over the rows of ``sampling.narrow_folds``, twins being one."""
+    few = known.count() <= FEW
+    for i, c in enumerate(cols):
+        one = known.where(F.col("_m") == c).select(F.col("_w").alias(f"_w{i}"), F.col("_f").alias(f"_f{i}"), F.col("p1").alias(f"_p{i}"))
+        df = df.join(F.broadcast(one) if few else one, F.col(c).cast("string").eqNullSafe(F.col(f"_w{i}")) & (F.col(fold) == F.col(f"_f{i}")))
+    said = df.select(fold, y, "twin", (reduce(add, [F.col(f"_p{i}") for i in range(len(cols))]) / len(cols)).alias("p"))
+    rows = said.where("twin is null").select(fold, y, "p").unionByName(said.where("twin is not null").groupBy("twin", y, fold).agg(F.avg("p").alias("p")).select(fold, y, "p"))
+    off = F.col("p") - F.col(y)
+    return rows.groupBy(fold).agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.sum(off * off).alias("square"))
+
+
 def ranking(oof: DataFrame, by: str = "accuracy", fold: str = "fold", at: float = 0.5) -> DataFrame:
     """model, accuracy and roc_auc (means over the folds), accuracy_spread and place (1: the largest ``by``, ties by name)."""
     hit = ((F.col("p1") >= at).cast("int") == F.col("y").cast("int")).cast("double")

@@ -7,6 +7,8 @@ sorted in one task: md5's first digits are the salt, and order by salt then md5
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,6 +150,24 @@ def kfold(df: DataFrame, keys: list[str], y: str, k: int = 5, seed: str = "42")
     return ranked(df, keys, [y], seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
+def narrow_folds(df: DataFrame, keys: list[str], y: str, cols: list[str], k: int = 5, seed: str = "42") -> DataFrame:
+    """y, cols and ``fold`` as ``kfold`` deals it, without the keys: a row is sorted with the bytes of its md5 alone. For keys that are numbers, and few classes.
+
+    Rows that share keys, y and fold have a common ``twin``; it is null in all others.
+    """
+    hexed, empty = order(keys, seed), reduce(or_, [F.col(c).isNull() for c in keys])
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in keys])  # which are missing: md5 alone doesn't tell
+    digest = F.when(empty, F.concat(F.unhex(hexed), nulls.cast("binary"))).otherwise(F.unhex(hexed))
+    rows = df.select(y, *cols, digest.alias("_md5"), F.conv(F.substring(hexed, 1, 2), 16, 10).cast("short").alias("_salt"))
+    counts = rows.groupBy(y, "_salt").agg(F.count("*").alias("_n"))  # 256 rows a class
+    before = counts.select(F.col(y).alias("_y"), F.col("_salt").alias("_of"), (F.sum("_n").over(Window.partitionBy(y).orderBy("_salt")) - F.col("_n")).alias("_before"))
+    w = Window.partitionBy(y, "_salt").orderBy("_md5")
+    same = lambda other: F.coalesce(other("_md5", k).over(w) == F.col("_md5"), F.lit(False))
+    placed = rows.withColumn("_place", F.row_number().over(w)).withColumn("twin", F.when(same(F.lag) | same(F.lead), F.col("_md5")))
+    near = placed.join(F.broadcast(before), F.col(y).eqNullSafe(F.col("_y")) & (F.col("_salt") == F.col("_of")))
+    return near.select(y, *cols, ((F.col("_before") + F.col("_place") - 1) % k).cast("int").alias("fold"), "twin")
+
+
 def balanced_subsets(df: DataFrame, keys: list[str], y: str, subsets: int = 10, per_class: int = 25_000) -> DataFrame:
     """``subsets`` independent draws, each with the same number of rows (per_class at most) of each class."""
     classes, least, _ = _classes(df, y)

@@ -46,6 +46,46 @@ def test_bucket_rates_leave_out_the_rows_own_fold(spark):
     assert learning.bucket_rates(df.limit(0), ["id"], "y", ["v"]).count() == 0
 
 
+def test_blend_equals_its_sql_with_rows_that_share_their_keys(spark, tmp_path):
+    from glint.plans import model_queries  # noqa: F401
+    from glint.plans.queries import ORACLES, QUERIES
+
+    one = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM '/root/testdata/sf0.001/lineitem.parquet'"""
+    # 23 copies of some rows (one key and value, so that it's all the same which copy is in which fold), and keys that are missing
+    duckdb.sql(f"COPY ({one} UNION ALL SELECT a.* FROM ({one} WHERE l_orderkey % 40 = 3) a, range(22) UNION ALL SELECT NULL, * EXCLUDE (l_orderkey) FROM ({one} LIMIT 50)) TO '{tmp_path}/lineitem.parquet'")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(f"select fold, n, mean_p, brier from ({ORACLES['q_blend']})").fetchall()}
+    got = {r["fold"]: (r["n"], r["mean_p"], r["brier"]) for r in QUERIES["q_blend"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], abs=2e-6) for f in want)
+    assert sum(v[0] for v in want.values()) < con.execute("select count(*) from lineitem").fetchone()[0]
+
+
+def test_narrow_folds_are_those_of_kfold(spark):
+    df = spark.createDataFrame([(i, i % 7, i % 3 == 0) for i in range(400)], "a long, b int, y boolean")
+    want = sorted(tuple(r) for r in sampling.kfold(df, ["a", "b"], "y").select("y", "a", "b", "fold").collect())
+    got = sampling.narrow_folds(df, ["a", "b"], "y", ["a", "b"])
+    assert sorted(tuple(r)[:4] for r in got.collect()) == want and got.where("twin is not null").count() == 0
+
+
+def test_a_blend_moves_and_writes_no_row_for_each_model(spark, monkeypatch):
+    from glint.plans import model_queries  # noqa: F401
+    from glint.plans.queries import QUERIES
+    from glint.sources import written
+
+    write, rows = written.write, {}
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = (out.count(), out.columns)
+        return out
+
+    monkeypatch.setattr(written, "write", counted)
+    QUERIES["q_blend"](spark, "/root/testdata/sf0.001").collect()
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert max(r[0] for r in rows.values()) == n and not any("l_orderkey" in r[1] for r in rows.values())
+
+
 def test_vote_takes_the_largest_probability_of_models_with_their_own_scalers(spark):
     df = rows(spark).withColumn("b", F.col("b") * 1000)
     fit = stats.scale_fit(df.where("fold = 0"), COLS)
